@@ -158,6 +158,7 @@ def staging_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All-string raw reviews; names carry a leading blank, order keys >= 9000 are orphans."""
     f = fact_user_reviews(spark, sf_dir)
     return f.select(
+        F.col("review_id").alias("raw_review_id"),
         F.concat(F.lit(" app_"), F.col("app_id").cast("string")).alias("app"),
         F.col("review_text").alias("translated_review"),
         F.col("sentiment"),
