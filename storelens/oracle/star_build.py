@@ -74,6 +74,23 @@ LOOSE_INSTALLS = ("TRY_CAST(NULLIF(regexp_extract(replace(replace(installs, '+',
 LOOSE_PRICE = ("COALESCE(TRY_CAST(NULLIF(regexp_extract(replace(price, '$', ''), '([\\d\\.]+)', 1), '')"
                " AS DOUBLE), 0.0)")
 
+DASH_APPS = f"""
+dash_apps AS (
+  SELECT raw_app_id, app, category, rating_value AS rating, reviews, type_value AS type,
+    {LOOSE_INSTALLS} AS installs_clean, {LOOSE_PRICE} AS price_clean,
+    CAST(trim(type_value) = 'Paid' AS INTEGER) AS is_paid
+  FROM (SELECT *, TRY_CAST({na('rating')} AS DOUBLE) AS rating_value, {na('type')} AS type_value,
+          ROW_NUMBER() OVER (PARTITION BY app ORDER BY raw_app_id) AS rn
+        FROM stg_apps WHERE category IS NULL OR category <> '1.9') first_rows
+  WHERE rn = 1 AND rating_value IS NOT NULL AND type_value IN ('Free', 'Paid'))"""
+
+DASH_REVIEWS = f"""
+dash_reviews AS (
+  SELECT raw_review_id, app, {na('translated_review')} AS translated_review,
+    {na('sentiment')} AS sentiment, TRY_CAST({na('sentiment_polarity')} AS DOUBLE) AS sentiment_polarity
+  FROM stg_reviews
+  WHERE {na('translated_review')} IS NOT NULL AND {na('sentiment')} IS NOT NULL)"""
+
 PROFILE_TABLES = ("region nation customer supplier part orders lineitem events documents "
                   "embeddings pages benchmark labels conversations").split()
 
@@ -113,19 +130,8 @@ FROM stg_reviews r JOIN dim_built d ON trim(r.app) = d.app_name""", DIM_BUILT),
     "c_parse_loose": with_staging(f"""
 SELECT raw_app_id, installs, price, {LOOSE_INSTALLS} AS installs_clean, {LOOSE_PRICE} AS price_clean
 FROM stg_apps"""),
-    "c_dashboard_apps": with_staging(f"""
-SELECT raw_app_id, app, category, rating_value AS rating, reviews, type_value AS type,
-    {LOOSE_INSTALLS} AS installs_clean, {LOOSE_PRICE} AS price_clean,
-    CAST(trim(type_value) = 'Paid' AS INTEGER) AS is_paid
-FROM (SELECT *, TRY_CAST({na('rating')} AS DOUBLE) AS rating_value, {na('type')} AS type_value,
-        ROW_NUMBER() OVER (PARTITION BY app ORDER BY raw_app_id) AS rn
-      FROM stg_apps WHERE category IS NULL OR category <> '1.9') first_rows
-WHERE rn = 1 AND rating_value IS NOT NULL AND type_value IN ('Free', 'Paid')"""),
-    "c_dashboard_reviews": with_staging(f"""
-SELECT raw_review_id, app, {na('translated_review')} AS translated_review,
-    {na('sentiment')} AS sentiment, TRY_CAST({na('sentiment_polarity')} AS DOUBLE) AS sentiment_polarity
-FROM stg_reviews
-WHERE {na('translated_review')} IS NOT NULL AND {na('sentiment')} IS NOT NULL"""),
+    "c_dashboard_apps": with_staging("SELECT * FROM dash_apps", DASH_APPS),
+    "c_dashboard_reviews": with_staging("SELECT * FROM dash_reviews", DASH_REVIEWS),
     "s_table_profile": """
 SELECT c.table_name, CAST(COUNT(*) AS BIGINT) AS column_count, r.row_count,
     string_agg(c.column_name, ',' ORDER BY c.ordinal_position) AS column_names
