@@ -65,7 +65,8 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ----------------------------------------------------------------------------- P5-P7
 def stratified_split(df: DataFrame, key: str = "doc_id", label: str = "label", seed: int = 42,
-                     test_pct: int = 15, val_pct: int = 15, bucket_hex_digits: int = 4) -> DataFrame:
+                     test_pct: int = 15, val_pct: int = 15, bucket_hex_digits: int = 4,
+                     n_folds: int = 5) -> DataFrame:
     """P5: exact, reproducible, order-independent stratified train/val/test split.
 
     Within each class rows are ordered by ``md5(key || ':' || seed)``; the first
@@ -89,7 +90,10 @@ def stratified_split(df: DataFrame, key: str = "doc_id", label: str = "label", s
     n_val = F.floor((rest * val_pct + (100 - test_pct) - 1) / (100 - test_pct))
     split = (F.when(C("__pos") <= n_test, F.lit("test"))
              .when(C("__pos") <= n_test + n_val, F.lit("val")).otherwise(F.lit("train")))
-    return r.withColumn("split", split).drop("__h", "__b", "__off", "__n", "__pos")
+    # fold id for stratified k-fold cross-validation on the train rows
+    fold = ((C("__pos") - 1) % n_folds).cast("int")
+    return (r.withColumn("split", split).withColumn("fold", fold)
+            .drop("__h", "__b", "__off", "__n", "__pos"))
 
 
 def split_counts(split: DataFrame) -> DataFrame:
