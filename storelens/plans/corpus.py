@@ -25,6 +25,7 @@ from ..functions.text import (ENGLISH_STOP_WORDS, clean_text, drop_stop_words, l
                               name_of, ngrams, terms, words)
 from ..operators.shares import rnd, share_of_total
 from ..operators.topk import top_k
+from ..session import cut_lineage
 from ..sources.testdata import table
 
 C = F.col
@@ -102,10 +103,11 @@ def split_counts(split: DataFrame) -> DataFrame:
 
 def class_weights(split: DataFrame) -> DataFrame:
     """Balanced weights n / (k * n_c) on the train split."""
-    train = split.where(C("split") == "train")
-    per = train.groupBy("label").agg(F.count(F.lit(1)).cast("bigint").alias("n_train"))
-    n = train.agg(F.count(F.lit(1))).scalar()
-    k = per.agg(F.count(F.lit(1))).scalar()
+    per = (split.where(C("split") == "train").groupBy("label")
+           .agg(F.count(F.lit(1)).cast("bigint").alias("n_train")))
+    # n and k come from a window over the per-class rows (one row per class)
+    every = Window.partitionBy()
+    n, k = F.sum("n_train").over(every), F.count(F.lit(1)).over(every)
     return per.withColumn("weight", rnd(n.cast("double") / (k * C("n_train")), 6))
 
 
@@ -158,19 +160,24 @@ def length_stats(df: DataFrame) -> DataFrame:
 
 
 def length_histogram(df: DataFrame, bins: int = 50) -> DataFrame:
-    """Shared-edge histogram per sentiment: bin = (x - min) * bins // (max - min), last bin closed."""
+    """Shared-edge histogram per sentiment: bin = (x - min) * bins // (max - min), last bin closed.
+
+    Two passes: a one-row min/max aggregate (four numbers to the driver), then one
+    aggregation over (measure, sentiment, bin) for both measures at once.
+    """
     L = _lengths(df)
-    parts = []
-    for m in ("char", "word"):
-        c = C(f"{m}_length")
-        lo = L.agg(F.min(c)).scalar()
-        hi = L.agg(F.max(c)).scalar()
-        span = hi - lo
-        b = F.when(span == 0, F.lit(0)).otherwise(
-            F.least(F.lit(bins - 1), F.floor((c - lo) * bins / F.nullif(span, F.lit(0)))))
-        parts.append(L.groupBy(F.lit(m).alias("measure"), "sentiment", b.cast("bigint").alias("bin"))
-                     .agg(F.count(F.lit(1)).cast("bigint").alias("n_reviews")))
-    return parts[0].unionByName(parts[1])
+    mm = L.agg(F.min("char_length"), F.max("char_length"),
+               F.min("word_length"), F.max("word_length")).first()
+    long = L.select("sentiment", F.inline(F.array(
+        F.struct(F.lit("char").alias("measure"), C("char_length").alias("x"),
+                 F.lit(mm[0]).alias("lo"), F.lit(mm[1]).alias("hi")),
+        F.struct(F.lit("word").alias("measure"), C("word_length").alias("x"),
+                 F.lit(mm[2]).alias("lo"), F.lit(mm[3]).alias("hi")))))
+    span = C("hi") - C("lo")
+    b = F.when(span == 0, F.lit(0)).otherwise(
+        F.least(F.lit(bins - 1), F.floor((C("x") - C("lo")) * bins / F.nullif(span, F.lit(0)))))
+    return (long.groupBy("measure", "sentiment", b.cast("bigint").alias("bin"))
+            .agg(F.count(F.lit(1)).cast("bigint").alias("n_reviews")))
 
 
 def term_cloud(df: DataFrame, sentiment: str = "Positive", k: int = 150) -> DataFrame:
@@ -231,7 +238,7 @@ QUERIES = {
     "p_stratified_split": lambda spark, sf: _split(spark, sf).select("doc_id", "label", "split"),
     "p_split_counts": lambda spark, sf: split_counts(_split(spark, sf)),
     "p_class_weights": lambda spark, sf: class_weights(_split(spark, sf)),
-    "p_tfidf_sql": lambda spark, sf: tfidf_long(_split(spark, sf)),
+    "p_tfidf_sql": lambda spark, sf: tfidf_long(cut_lineage(_split(spark, sf))),
     "e_sentiment_distribution": lambda spark, sf: sentiment_distribution(corpus(spark, sf)),
     "e_length_stats": lambda spark, sf: length_stats(corpus(spark, sf)),
     "e_length_histogram": lambda spark, sf: length_histogram(corpus(spark, sf)),

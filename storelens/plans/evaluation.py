@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ID2LABEL, LABEL2ID, name_of, terms
 from ..operators.shares import pct, rnd
+from ..session import cut_lineage
 from .corpus import corpus, stratified_split
 
 C = F.col
@@ -239,7 +240,10 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 
 # ----------------------------------------------------------------------------- keyed jobs
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    return lexicon_scores(stratified_split(corpus(spark, sf)))
+    """The scoring job writes its predictions once (the source also saves predictions before
+    evaluating them); every metric job then reads that small table instead of replaying
+    text cleaning for each aggregate."""
+    return cut_lineage(lexicon_scores(stratified_split(corpus(spark, sf))))
 
 
 def _test(spark, sf):
@@ -247,10 +251,11 @@ def _test(spark, sf):
 
 
 def m_compare(spark: SparkSession, sf: str) -> DataFrame:
-    split = stratified_split(corpus(spark, sf))
+    scored = _scored(spark, sf)
     test = lambda d: d.where(C("split") == "test")
-    metrics = summary_metrics(test(lexicon_scores(split)), "lexicon").unionByName(
-        summary_metrics(test(prior_scores(split)), "prior"))
+    prior = prior_scores(scored.select("doc_id", "label", "split"))
+    metrics = summary_metrics(test(scored), "lexicon").unionByName(
+        summary_metrics(test(prior), "prior"))
     return compare_models(metrics)
 
 
