@@ -64,10 +64,23 @@ def words(cleaned: Column) -> Column:
 
 
 def terms(cleaned: Column) -> Column:
-    """Vectoriser tokens: words of at least two characters."""
+    """Vectoriser tokens: words of at least two characters (runs of blanks give empty
+    strings, which the length filter drops)."""
     return F.filter(words(cleaned), lambda w: F.length(w) >= 2)
 
 
+def strip_stop_words(cleaned: Column, stop_words: list[str] = ENGLISH_STOP_WORDS) -> Column:
+    """Remove whole stop words from *cleaned* text (only [a-z0-9 ] left) in one compiled
+    regex pass; ``terms(strip_stop_words(x))`` equals ``drop_stop_words(terms(x))``.
+
+    A per-token ``array_contains`` against the list runs interpreted inside a lambda and
+    costs |tokens| x |list| comparisons; the regex is compiled once and stays JVM-native.
+    """
+    words_ = sorted({w for w in stop_words if w.isalnum()}, key=lambda w: (-len(w), w))
+    pattern = "(?<![a-z0-9])(?:" + "|".join(words_) + ")(?![a-z0-9])"
+    return F.regexp_replace(cleaned, pattern, " ")
+
+
 def drop_stop_words(tokens: Column, stop_words: list[str] = ENGLISH_STOP_WORDS) -> Column:
     stops = F.array(*[F.lit(s) for s in stop_words])
     return F.filter(tokens, lambda w: ~F.array_contains(stops, w))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tiers import (INSTALL_BUCKETS, RATING_TIERS, lower_bound_tiers, price_tier,
                                pricing_model)
-from ..operators.joins import anti, guarded_broadcast
+from ..operators.joins import anti
 from ..operators.reviews import per_app_reviews
 from ..operators.shares import pct, rnd, share_of_total
 from ..operators.topk import rank_at_most, top_k, top_k_ranked, top_n_per_group
@@ -108,8 +108,8 @@ def q08_rating_outliers(dim: DataFrame, fact: DataFrame | None = None, k: int =
     rated = dim.where(C("rating").isNotNull())
     stats = rated.groupBy("category").agg(F.avg("rating").alias("cat_avg"),
                                           F.stddev_pop("rating").alias("cat_std"))
-    j = rated.select("app_name", "category", "rating").join(
-        guarded_broadcast(stats), "category", "inner")
+    # one row per category: AQE broadcasts it from the measured size of the aggregate
+    j = rated.select("app_name", "category", "rating").join(stats, "category", "inner")
     delta = C("rating") - C("cat_avg")
     rows = j.where((C("cat_std") > 0) & (delta.cast("double") > F.lit(z) * C("cat_std"))).select(
         "app_name", "category", _dbl("rating"),

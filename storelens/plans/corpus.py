@@ -21,8 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import (ENGLISH_STOP_WORDS, clean_text, drop_stop_words, label_of,
-                              name_of, ngrams, terms, words)
+from ..functions.text import (ENGLISH_STOP_WORDS, clean_text, label_of, name_of, ngrams,
+                              strip_stop_words, terms, words)
 from ..operators.shares import rnd, share_of_total
 from ..operators.topk import top_k
 from ..session import cut_lineage
@@ -194,7 +194,7 @@ def term_cloud(df: DataFrame, sentiment: str = "Positive", k: int = 150) -> Data
 def top_ngrams(df: DataFrame, sentiment: str = "Positive", n: int = 20, gram: int = 2,
                stop_words: list[str] = ENGLISH_STOP_WORDS) -> DataFrame:
     """E5: top-n n-grams of one class; stop words go before pairing (pairs span them)."""
-    toks = drop_stop_words(terms(C("cleaned_review")), stop_words)
+    toks = terms(strip_stop_words(C("cleaned_review"), stop_words))
     g = (df.where(C("sentiment") == sentiment).select(F.explode(ngrams(toks, gram)).alias("ngram"))
          .groupBy("ngram").agg(F.count(F.lit(1)).cast("bigint").alias("count")))
     return top_k(g, [C("count").desc(), C("ngram")], n)

@@ -18,7 +18,6 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import join_small
 
 DEFAULT_SF_DIR = "/root/testdata/sf0.01"
 
@@ -47,8 +46,9 @@ def dim_apps(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    cust = join_small(customer, nation, customer.c_nationkey == nation.n_nationkey,
-                      max_rows=100_000)
+    # join strategies are left to the planner: it broadcasts a side only when its size
+    # (file statistics, or AQE's measured shuffle output) is under the threshold
+    cust = customer.join(nation, customer.c_nationkey == nation.n_nationkey, "inner")
     j = orders.join(cust, orders.o_custkey == cust.c_custkey, "inner")
     k = F.col("o_orderkey")
     paid = (k % 10) == 3
