@@ -22,14 +22,16 @@ def test_read_raw_quotes_newlines_and_na(spark, tmp_path):
 
 
 def test_stream_staging_appends_once(spark, tmp_path):
+    import uuid
+    name = f"t_{uuid.uuid4().hex}"  # stream checkpoints live in the shared checkpoint dir
     landing, staging = tmp_path / "landing", tmp_path / "staging"
     landing.mkdir()
     header = ",".join(f'"{c}"' for c in APPS_COLUMNS)
     (landing / "a.csv").write_text(header + "\n" + ",".join(["x"] * 13) + "\n")
-    q = stream_staging(spark, str(landing), str(staging), APPS_COLUMNS, name=f"t_{tmp_path.name}")
+    q = stream_staging(spark, str(landing), str(staging), APPS_COLUMNS, name=name)
     q.awaitTermination(120)
     (landing / "b.csv").write_text(header + "\n" + ",".join(["y"] * 13) + "\n")
-    q = stream_staging(spark, str(landing), str(staging), APPS_COLUMNS, name=f"t_{tmp_path.name}")
+    q = stream_staging(spark, str(landing), str(staging), APPS_COLUMNS, name=name)
     q.awaitTermination(120)
     got = spark.read.parquet(str(staging))
     assert sorted(r.app for r in got.collect()) == ["x", "y"]
