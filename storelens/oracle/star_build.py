@@ -140,6 +140,10 @@ FROM information_schema.columns c JOIN (
         f"SELECT '{t}' AS t, CAST(COUNT(*) AS BIGINT) AS row_count FROM {t}" for t in PROFILE_TABLES
     ) + """) r ON r.t = c.table_name
 GROUP BY c.table_name, r.row_count""",
+    "s_csv_roundtrip": with_staging("SELECT " + ", ".join(
+        f"{na(c)} AS {c}" for c in ["app", "category", "rating", "reviews", "size", "installs", "type",
+                                    "price", "content_rating", "genres", "last_updated",
+                                    "current_ver", "android_ver"]) + " FROM stg_apps"),
     "s_dim_sample": with_star("""
 SELECT app_id, app_name, CAST(price_usd AS DOUBLE) AS price_usd, is_paid
 FROM dim_apps ORDER BY app_id LIMIT 10"""),

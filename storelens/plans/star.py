@@ -218,7 +218,24 @@ def s_dim_sample(spark: SparkSession, sf: str, n: int = 10) -> DataFrame:
             .orderBy("app_id").limit(n))
 
 
+def s_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """S1 + S4: export the staging apps as a raw CSV (original headers, quoted), append-write
+    it into a fresh folder under the shared checkpoint dir, and ingest it back with the
+    all-string reader (NA strings -> NULL, snake_case names)."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources.raw import APPS_COLUMNS, read_raw, snake
+
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-roundtrip-{uuid.uuid4().hex}"
+    stg = _stg(spark, sf)
+    raw = stg.select(*[C(snake(c)).alias(c) for c in APPS_COLUMNS])
+    raw.write.mode("append").option("header", True).option("escape", '"').csv(root)
+    return read_raw(spark, root, APPS_COLUMNS)
+
+
 QUERIES = {
+    "s_csv_roundtrip": s_csv_roundtrip,
     "c_parse_rating": c_parse_rating,
     "c_parse_reviews": c_parse_reviews,
     "c_parse_size": c_parse_size,

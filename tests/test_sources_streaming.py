@@ -36,3 +36,21 @@ def test_stream_staging_appends_once(spark, tmp_path):
     got = spark.read.parquet(str(staging))
     assert sorted(r.app for r in got.collect()) == ["x", "y"]
     assert "content_rating" in got.columns and "raw_app_id" in got.columns
+
+
+def test_split_and_prediction_writers(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from storelens.plans.corpus import corpus, stratified_split
+    from storelens.plans.evaluation import lexicon_scores
+    from storelens.sources.raw import save_predictions, write_splits
+    from tests.conftest import SF_SMALL
+
+    split = stratified_split(corpus(spark, SF_SMALL))
+    write_splits(split.select("doc_id", "label", "split"), str(tmp_path / "splits"))
+    back = spark.read.parquet(str(tmp_path / "splits"))
+    assert back.count() == split.count()
+    assert {r.split for r in back.select("split").distinct().collect()} == {"train", "val", "test"}
+    pred = save_predictions(lexicon_scores(split), str(tmp_path / "pred"))
+    row = pred.where(F.col("prediction") == F.col("label")).first()
+    assert row.correct is True and row.predicted_sentiment in ("Negative", "Neutral", "Positive")
