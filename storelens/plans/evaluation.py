@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ID2LABEL, LABEL2ID, name_of, terms
+from ..functions.text import ID2LABEL, LABEL2ID, name_of
 from ..operators.shares import pct, rnd
 from ..session import cut_lineage
 from .corpus import corpus, stratified_split
@@ -49,13 +49,13 @@ NEGATIVE_SHARE_MIN = 30.0
 # ----------------------------------------------------------------------------- scorer
 def lexicon_scores(df: DataFrame) -> DataFrame:
     """p_c = (hits_c + 1) / (hits + K); prediction = argmax (ties to the higher class)."""
-    toks = terms(C("cleaned_review"))
+    # hits_c = number of >= 2-character tokens that are markers of class c, counted with one
+    # compiled whole-word regex per class (no per-token interpreted lambda)
+    def hits_of(words_):
+        alts = "|".join(sorted((w for w in words_ if len(w) >= 2), key=lambda w: (-len(w), w)))
+        return F.regexp_count(C("cleaned_review"), F.lit(f"(?<![a-z0-9])(?:{alts})(?![a-z0-9])"))
 
-    def member_of(words_):
-        markers = F.array(*[F.lit(x) for x in words_])
-        return lambda w: F.array_contains(markers, w)
-
-    hits = {c: F.size(F.filter(toks, member_of(ws))) for c, ws in LEXICON.items()}
+    hits = {c: hits_of(ws) for c, ws in LEXICON.items()}
     total = sum(hits.values())
     k = len(LEXICON)
     probs = {c: ((h + 1).cast("double") / (total + k)) for c, h in hits.items()}
@@ -88,14 +88,20 @@ def confusion_matrix(pred: DataFrame) -> DataFrame:
             .na.fill(0).select("label", *[C(str(c)).cast("bigint").alias(f"pred_{c}") for c in CLASSES]))
 
 
-def per_class(counts: DataFrame) -> DataFrame:
-    """tp, support, predicted per class (from the <= k^2 pair counts)."""
-    truth = counts.groupBy(C("label").alias("cls")).agg(F.sum("n").alias("support"))
-    predicted = counts.groupBy(C("prediction").alias("cls")).agg(F.sum("n").alias("predicted"))
-    tp = counts.where(C("label") == C("prediction")).select(C("label").alias("cls"), C("n").alias("tp"))
-    classes = truth.select("cls").union(predicted.select("cls")).distinct()
-    j = classes.join(truth, "cls", "left").join(predicted, "cls", "left").join(tp, "cls", "left")
-    j = j.na.fill(0, ["support", "predicted", "tp"])
+def per_class(pred: DataFrame) -> DataFrame:
+    """tp, support, predicted per class from ONE aggregation pass (3 counts per class),
+    stacked to one row per class; classes absent from both truth and prediction are
+    dropped (they do not enter the averages)."""
+    lab, prd = C("label"), C("prediction")
+    aggs = []
+    for c in CLASSES:
+        aggs += [F.count_if((lab == c) & (prd == c)).alias(f"tp{c}"),
+                 F.count_if(lab == c).alias(f"sup{c}"), F.count_if(prd == c).alias(f"pr{c}")]
+    row = pred.agg(*aggs)
+    j = row.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("cls"), C(f"tp{c}").alias("tp"), C(f"sup{c}").alias("support"),
+                 C(f"pr{c}").alias("predicted")) for c in CLASSES])))
+    j = j.where((C("support") + C("predicted")) > 0)
     prec = F.coalesce(C("tp") / F.nullif(C("predicted"), F.lit(0)), F.lit(0.0))
     rec = F.coalesce(C("tp") / F.nullif(C("support"), F.lit(0)), F.lit(0.0))
     f1 = F.coalesce(2 * prec * rec / F.nullif(prec + rec, F.lit(0.0)), F.lit(0.0))
@@ -105,7 +111,7 @@ def per_class(counts: DataFrame) -> DataFrame:
 
 def classification_report(pred: DataFrame, digits: int = 8) -> DataFrame:
     """M8: per-class P/R/F1/support, accuracy, macro and weighted averages (0/0 -> 0)."""
-    pc = per_class(pair_counts(pred))
+    pc = per_class(pred)
     rows = pc.select(name_of(C("cls")).alias("row_name"), rnd(C("precision"), digits).alias("precision"),
                      rnd(C("recall"), digits).alias("recall"), rnd(C("f1_score"), digits).alias("f1_score"),
                      C("support").cast("bigint").alias("support"))
@@ -168,7 +174,7 @@ def log_loss(pred: DataFrame, digits: int = 8) -> DataFrame:
 
 
 def summary_metrics(pred: DataFrame, model: str, digits: int = 8) -> DataFrame:
-    pc = per_class(pair_counts(pred))
+    pc = per_class(pred)
     return pc.agg(F.lit(model).alias("model"),
                   rnd(F.sum("tp") / F.sum("support"), digits).alias("accuracy"),
                   rnd(F.avg("precision"), digits).alias("macro_precision"),
