@@ -24,14 +24,17 @@ def pct(num: Column, den: Column, scale: int = 2) -> Column:
 
 
 def share_of_total(df: DataFrame, n: str, out: str, scale: int = 2,
-                   partition: list[str] | None = None) -> DataFrame:
-    """Add ``out = n * 100 / sum(n)`` over all rows, or within ``partition``.
-
-    Global: the denominator is a scalar subquery (one extra aggregate job, partial
-    aggregation, no single-partition exchange). Partitioned: a window partitioned by the
-    keys over the already-grouped rows (NULL keys form their own partition, as in SQL).
+                   partition: list[str] | None = None, many_groups: bool = False) -> DataFrame:
+    """Add ``out = n * 100 / sum(n)`` over all rows of an already-grouped frame, or within
+    ``partition``.
+
+    The denominator is a window over the *grouped* rows: with a bounded grouping (tiers,
+    categories, sentiments) that is a handful of rows in one task, and the grouped input is
+    computed once. ``many_groups=True`` (high-cardinality groupings) uses a scalar-subquery
+    total instead: no single task sees all groups, at the price of aggregating twice.
     """
-    if not partition:
-        total = df.agg(F.sum(n)).scalar()
-        return df.withColumn(out, pct(F.col(n), total, scale))
-    return df.withColumn(out, pct(F.col(n), F.sum(n).over(Window.partitionBy(*partition)), scale))
+    if partition:
+        return df.withColumn(out, pct(F.col(n), F.sum(n).over(Window.partitionBy(*partition)), scale))
+    if many_groups:
+        return df.withColumn(out, pct(F.col(n), df.agg(F.sum(n)).scalar(), scale))
+    return df.withColumn(out, pct(F.col(n), F.sum(n).over(Window.partitionBy()), scale))

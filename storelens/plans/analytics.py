@@ -7,7 +7,7 @@ Each ``qNN(dim, fact, **params)`` returns a lazy DataFrame. Shape rules used thr
 * global RANK / LIMIT goes through ``top_k_ranked`` / ``rank_at_most`` (bounded work,
   exact ranks), never a single-partition window over a whole table;
 * per-group top-n uses ``row_number <= n`` (partial WindowGroupLimit before the shuffle);
-* shares of a total use a scalar-subquery denominator;
+* shares of a total divide by a window over the already-grouped (few) rows;
 * rounding happens on exact decimals (``rnd`` / ``pct``); results are DOUBLE / BIGINT.
 
 Ties under LIMIT / ROW_NUMBER get an explicit tie-break (app name, then key) so results

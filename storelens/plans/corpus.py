@@ -202,9 +202,8 @@ def term_cloud(df: DataFrame, sentiment: str = "Positive", k: int = 150) -> Data
          .select(F.explode(terms(C("cleaned_review"))).alias("term"))
          .groupBy("term").agg(F.count(F.lit(1)).cast("bigint").alias("n")))
     top = top_k(t, [C("n").desc(), C("term")], k)
-    # the top term's count is the max over all terms (a scalar subquery over the
-    # aggregate, not over the limited frame itself)
-    return top.withColumn("weight", rnd(C("n") / t.agg(F.max("n")).scalar(), 6))
+    # the most frequent term is in the top-k: a window over those k rows, no second pass
+    return top.withColumn("weight", rnd(C("n") / F.max("n").over(Window.partitionBy()), 6))
 
 
 def top_ngrams(df: DataFrame, sentiment: str = "Positive", n: int = 20, gram: int = 2,

@@ -155,14 +155,15 @@ def auc_ovr(pred: DataFrame, buckets: int = 65536, digits: int = 8) -> DataFrame
         F.sum(C("n_pos") * (C("neg_below") + C("n_neg") * 0.5)).alias("u"),
         F.sum("n_pos").alias("P"), F.sum("n_neg").alias("N"))
     auc = C("u") / F.nullif(C("P") * C("N"), F.lit(0))
+    # one row per class: the prevalence denominator is a window over those rows
     per_cls = per_cls.select("cls", auc.alias("auc"), "P")
-    total = per_cls.agg(F.sum("P")).scalar()
+    total = F.sum("P").over(Window.partitionBy())
     rows = per_cls.select(name_of(C("cls")).alias("row_name"), rnd(C("auc"), digits).alias("roc_auc"))
     macro = per_cls.agg(F.lit("macro").alias("row_name"),
                         rnd(F.when(F.count_if(C("auc").isNull()) == 0, F.avg("auc")), digits).alias("roc_auc"))
-    weighted = per_cls.agg(F.lit("weighted").alias("row_name"),
-                           rnd(F.when(F.count_if(C("auc").isNull()) == 0,
-                                      F.sum(C("auc") * C("P") / total)), digits).alias("roc_auc"))
+    weighted = per_cls.withColumn("__w", C("P") / total).agg(
+        F.lit("weighted").alias("row_name"),
+        rnd(F.when(F.count_if(C("auc").isNull()) == 0, F.sum(C("auc") * C("__w"))), digits).alias("roc_auc"))
     return rows.unionByName(macro).unionByName(weighted)
 
 
