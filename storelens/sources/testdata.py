@@ -13,7 +13,6 @@ which join ``orders`` to ``customer`` (shuffle / AQE-broadcast) and to ``nation`
 
 from __future__ import annotations
 
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
