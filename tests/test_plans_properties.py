@@ -96,3 +96,14 @@ def test_result_independent_of_partition_count(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert before == after
+
+
+def test_dedupe_and_top_n_plan_window_group_limit(spark):
+    for key in ("c_build_dim", "c_dashboard_apps", "q33_composite_leaders"):
+        assert "WindowGroupLimit" in plan(E.queries()[key](spark, SF_SMALL)), key
+
+
+def test_rank_with_ties_has_no_window_over_the_table(dim_fact):
+    p = plan(A.q14_most_expensive(*dim_fact))
+    # ranks come from the <= k per-value rows, joined back by broadcast
+    assert "BroadcastHashJoin" in p or "BroadcastExchange" in p or "broadcast" in p.lower()
