@@ -107,3 +107,11 @@ def test_rank_with_ties_has_no_window_over_the_table(dim_fact):
     p = plan(A.q14_most_expensive(*dim_fact))
     # ranks come from the <= k per-value rows, joined back by broadcast
     assert "BroadcastHashJoin" in p or "BroadcastExchange" in p or "broadcast" in p.lower()
+
+
+def test_spread_only_when_under_parallel(spark):
+    from storelens.operators.parallelism import spread
+    wide = spark.range(0, 1000, numPartitions=16)
+    assert spread(wide, 8).rdd.getNumPartitions() == 16  # enough partitions: untouched
+    narrow = spark.range(0, 1000, numPartitions=1)
+    assert spread(narrow, 8).rdd.getNumPartitions() == 8
