@@ -51,14 +51,23 @@ def _window_minima(words: Column, length: int) -> Column:
     return let(F.transform(words, lambda x: F.xxhash64(x)), hashed)
 
 
-def _windows(words: Column, length: int) -> Column:
-    """Structs (pos, fp, win) of all windows; ``win`` is the words themselves."""
-    def build(w: Column) -> Column:
-        return let(_window_minima(w, length), lambda m: up_to(
-            F.size(w) - (length - 1),
-            lambda i: F.struct(i.alias("pos"), F.get(m, i).alias("fp"),
-                               F.array_join(F.slice(w, i + 1, F.lit(length)), " ").alias("win"))))
-    return let(words, build)
+def _runs(words: Column, length: int) -> Column:
+    """Structs (fp, pos, part): windows in a row with the same least hash, from word ``pos`` on;
+    ``part`` is the words that they cover, joined by spaces."""
+    def cut_up(w: Column, m: Column) -> Column:
+        starts = F.filter(up_to(F.size(m), lambda i: i),
+                          lambda i: (i == 0) | (F.get(m, i) != F.get(m, i - 1)))
+        return let(starts, lambda at: F.transform(at, lambda s, k: F.struct(
+            F.get(m, s).alias("fp"), s.alias("pos"),
+            F.array_join(F.slice(w, s + 1, F.coalesce(F.get(at, k + 1), F.size(m)) - s + (length - 1)), " ").alias("part"))))
+
+    return let(words, lambda w: let(_window_minima(w, length), lambda m: cut_up(w, m)))
+
+
+def _windows(runs: Column, length: int) -> Column:
+    """Structs (pos, win) of the windows in a run."""
+    return let(F.split(runs["part"], " "), lambda w: up_to(F.size(w) - (length - 1), lambda i: F.struct(
+        (runs["pos"] + i).alias("pos"), F.array_join(F.slice(w, i + 1, F.lit(length)), " ").alias("win"))))
 
 
 def benchmark_windows(benchmark: DataFrame, span: int = SPAN, item_id: str = "item_id",
@@ -69,11 +78,13 @@ def benchmark_windows(benchmark: DataFrame, span: int = SPAN, item_id: str = "it
     parts = []
     for length in range(1, span + 1):  # a plan for each length that may occur; most are empty
         parts.append(items.where(F.col("len") == length).select(
-            "len", "item", F.explode(_windows(F.col("w"), length)).alias("x")))
+            "len", "item", F.explode(_runs(F.col("w"), length)).alias("x")))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    return out.select("len", "x.fp", "x.win", "item").distinct()
+    return out.select("len", "x.fp", "item", F.explode(F.when(F.col("len") == span, _windows(F.col("x"), span)).otherwise(
+        F.array(F.struct(F.col("x.pos"), F.col("x.part").alias("win"))))).alias("y")).select(
+        "len", "fp", "y.win", "item").distinct()
 
 
 def contaminated_texts(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, text: str = "text",
@@ -86,11 +97,10 @@ def contaminated_texts(documents: DataFrame, benchmark: DataFrame, span: int = S
     spans = docs.select("key", F.lit(0).alias("pos"), F.lit(0).alias("len"), F.lit("").alias("item")).limit(0)
     for length in lengths:
         own = bench.where(F.col("len") == length)
-        prints = docs.select("key", F.explode(F.array_distinct(_window_minima(words_of(F.col("t")), length))).alias("fp"))
-        hits = cut(prints.join(own.select("fp").distinct(), "fp", "left_semi").distinct(), "hits")
-        suspects = docs.join(hits.select("key").distinct(), "key")
-        grown = suspects.select("key", F.explode(_windows(words_of(F.col("t")), length)).alias("x"))
-        spans = spans.union(grown.select("key", "x.*").join(own, ["fp", "win"]).select(
+        runs = docs.select("key", F.explode(_runs(words_of(F.col("t")), length)).alias("x")).select("key", "x.*")
+        hits = cut(runs.join(own.select("fp").distinct(), "fp", "left_semi").distinct(), "hits")
+        grown = hits.select("key", "fp", F.explode(_windows(F.struct("pos", "part"), length)).alias("x"))
+        spans = spans.union(grown.select("key", "fp", "x.*").join(own, ["fp", "win"]).select(
             "key", "pos", F.lit(length).alias("len"), "item"))
     covered = F.flatten(F.transform("at", lambda a: F.sequence(a["pos"], a["pos"] + a["len"] - 1)))
     return spans.groupBy("key").agg(

@@ -3,18 +3,32 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import oracle
 from .common import table
 from .decontamination import decontamination_report
+from .mixing import mix_report
+from .simhash import fingerprint_hex, simhash_groups
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents")).select(
+        "doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE = {
