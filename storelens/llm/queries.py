@@ -8,14 +8,29 @@ from pyspark.sql import functions as F
 from . import oracle
 from .common import table
 from .decontamination import decontamination_report
+from .language import language_report
 from .mixing import mix_report
+from .pii import pii_report
 from .simhash import fingerprint_hex, simhash_groups
+from .tokens import token_report
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(table(spark, sf_dir, "documents"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(table(spark, sf_dir, "documents"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_report(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents")).select(
         "doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -27,10 +42,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_language_id": op2_language_id,
+    "op5_pii": op5_pii,
+    "op8_token_counts": op8_token_counts,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_mixing": op10_mixing,
 }
 
 ORACLE = {
     "op1_decontamination": oracle.OP1,
+    "op5_pii": oracle.OP5,
 }
