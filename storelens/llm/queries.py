@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from . import oracle
 from .common import table
 from .decontamination import decontamination_report
+from .extraction import extract_pages
 from .language import language_report
 from .mixing import mix_report
 from .pii import pii_report
 from .simhash import fingerprint_hex, simhash_groups
 from .tokens import token_report
+from .warc import derivative_report
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +29,14 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derivative_report(table(spark, sf_dir, "pages"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_report(table(spark, sf_dir, "documents"))
 
@@ -44,6 +54,8 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_language_id": op2_language_id,
     "op5_pii": op5_pii,
+    "op6_html_extraction": op6_html_extraction,
+    "op7_warc": op7_warc,
     "op8_token_counts": op8_token_counts,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_mixing": op10_mixing,
