@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import oracle
 from .common import table
 from .decontamination import decontamination_report
+from .embeddings import near_vectors
 from .extraction import extract_pages
 from .language import language_report
 from .mixing import mix_report
@@ -25,6 +26,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_language_id": op2_language_id,
+    "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op5_pii": op5_pii,
     "op6_html_extraction": op6_html_extraction,
     "op7_warc": op7_warc,
