@@ -11,6 +11,7 @@ from .decontamination import decontamination_report
 from .embeddings import near_vectors
 from .extraction import extract_pages
 from .language import language_report
+from .lines import line_report
 from .mixing import mix_report
 from .pii import pii_report
 from .simhash import fingerprint_hex, simhash_groups
@@ -30,6 +31,10 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_language_id": op2_language_id,
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
+    "op4_line_dedup": op4_line_dedup,
     "op5_pii": op5_pii,
     "op6_html_extraction": op6_html_extraction,
     "op7_warc": op7_warc,
