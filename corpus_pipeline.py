@@ -9,6 +9,7 @@ document, the words that it takes.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from storelens.llm.common import cut, table
 from storelens.llm.decontamination import drop_contaminated
@@ -23,7 +24,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_lines(docs)
+    return drop_lines(docs).withColumn("n_chars", F.char_length("text").cast("bigint"))
 
 
 def dedupe_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

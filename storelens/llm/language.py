@@ -27,6 +27,8 @@ from .common import private
 WINDOW, HIDDEN, SAMPLE_DOCS, WINDOWS_PER_DOC = 64, 8, 2000, 6
 STEPS, BATCH, RATE, SEED = 160, 160, 0.02, 11
 UNKNOWN, PAD = "und", 0
+#: Below it a document's language counts as untold (chance is 0.25 with four languages).
+MIN_SCORE = 0.3
 #: Windows that are read at a time.
 CHUNK = 2048
 
@@ -209,7 +211,7 @@ def language_report(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Dat
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
-def keep_identified(documents: DataFrame, min_score: float = 0.5, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def keep_identified(documents: DataFrame, min_score: float = MIN_SCORE, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """The documents whose language is told with at least ``min_score``; ``und`` goes."""
     langs, network = fit(documents, sample_docs)
     out, pred, score = predict(documents, langs, network)
