@@ -123,7 +123,7 @@ def parse(html: str, mute_inline=lambda tag, attrs: False) -> _Reader:
     reader = _Reader(mute_inline)
     if html.rfind("<!--") > html.rfind("-->"):
         html = html[:html.index("<!--", html.rfind("-->") + 1)]  # a comment that never ends
-    reader.feed(html)
+    reader.feed(_CUT_TAG.sub("", html))
     reader.close()
     return reader
 
@@ -144,4 +144,6 @@ def plain_text(html: str) -> str:
     return "\n\n".join(t for _, t in walk(parse(html).root))
 
 
+#: A tag that the end of the page cuts off.
+_CUT_TAG = re.compile(r"<[/!?a-zA-Z][^<>]*\Z")
 WORDS = re.compile(r"[a-z0-9]+")

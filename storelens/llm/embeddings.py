@@ -175,16 +175,17 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, trees: int
         yield from _leaf_codes(model.value, threshold, trees)(batches)
 
     label_type = rows.schema["label"].dataType.simpleString()
-    placed = cut(classes.select("cid", "size", "label", "vec").mapInArrow(
-        routed, f"cid long, size long, label {label_type}, vec array<double>, codes array<long>"), "routed")
-    hot = cut(placed.select(F.explode("codes").alias("code"), "label").groupBy("code", "label").count().where(
-        F.col("count") > BLOCK).select("code", "label", F.ceil(F.col("count") / BLOCK).cast("int").alias("n_chunks")), "hot-leaves")
-    each = placed.select("*", F.explode("codes").alias("code")).join(hot, ["code", "label"], "left")
+    placed = cut(classes.select("cid", "size", "label", F.size("vec").alias("dim"), "vec").mapInArrow(
+        routed, f"cid long, size long, label {label_type}, dim int, vec array<double>, codes array<long>"), "routed")
+    place = ["code", "label", "dim"]
+    hot = cut(placed.select(F.explode("codes").alias("code"), "label", "dim").groupBy(*place).count().where(
+        F.col("count") > BLOCK).select(*place, F.ceil(F.col("count") / BLOCK).cast("int").alias("n_chunks")), "hot-leaves")
+    each = placed.select("*", F.explode("codes").alias("code")).join(hot, place, "left")
     each = each.withColumn("n_chunks", F.coalesce("n_chunks", F.lit(1))).withColumn(
         "chunk", F.pmod(F.xxhash64("cid"), F.col("n_chunks")).cast("int"))
     each = each.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1))).withColumns(
         {"ci": F.least("chunk", "k"), "cj": F.greatest("chunk", "k")})
-    found = cut(each.select("code", "label", "ci", "cj", "chunk", "cid", "size", "vec", "codes").groupBy("code", "label", "ci", "cj").applyInArrow(
+    found = cut(each.select(*place, "ci", "cj", "chunk", "cid", "size", "vec", "codes").groupBy(*place, "ci", "cj").applyInArrow(
         _compare(threshold), "cid long, links long, root long"), "leaf-links")
     links = cut(found.groupBy("cid").agg(F.sum("links").alias("links")), "links")
     groups = connected_components(found.where("root IS NOT NULL").select(F.col("cid").alias("a"), F.col("root").alias("b")))

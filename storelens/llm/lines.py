@@ -152,13 +152,13 @@ def without_lines(documents: DataFrame, threshold: int = THRESHOLD, min_chars: i
     """``documents`` with the lines dropped from ``text``, and the names of two columns more: the exact
     copies among the dropped lines, and all of them (null where none are)."""
     gone = dropped_lines(documents, threshold, min_chars, doc_id, text)
-    exact, all_ = private(documents, "n_exact", "n_gone")
-    g = gone.select(F.col("id").alias("g_id"), F.col("h").alias("g_h"), F.col("n_exact").alias("g_exact"), "gone")
-    on = documents[doc_id].eqNullSafe(g["g_id"]) & (F.xxhash64(documents[text]) == g["g_h"])
-    kept = let(F.col("gone"), lambda x: F.filter(F.split(documents[text], "\n"), lambda _, i: ~F.array_contains(x, i)))
-    cleaned = F.when(F.col("gone").isNull(), documents[text]).otherwise(F.array_join(kept, "\n"))
+    exact, all_, g_id, g_h, at = private(documents, "n_exact", "n_gone", "g_id", "g_h", "g_at")
+    g = gone.select(F.col("id").alias(g_id), F.col("h").alias(g_h), F.col("n_exact").alias(exact), F.col("gone").alias(at))
+    on = documents[doc_id].eqNullSafe(g[g_id]) & (F.xxhash64(documents[text]) == g[g_h])
+    kept = let(F.col(at), lambda x: F.filter(F.split(documents[text], "\n"), lambda _, i: ~F.array_contains(x, i)))
+    cleaned = F.when(F.col(at).isNull(), documents[text]).otherwise(F.array_join(kept, "\n"))
     columns = [cleaned.alias(text) if c == text else documents[c] for c in documents.columns]
-    return documents.join(g, on, "left").select(*columns, F.col("g_exact").alias(exact), F.size("gone").cast("bigint").alias(all_)), exact, all_
+    return documents.join(g, on, "left").select(*columns, exact, F.size(at).cast("bigint").alias(all_)), exact, all_
 
 
 def line_report(documents: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:

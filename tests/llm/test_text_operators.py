@@ -1,0 +1,170 @@
+"""Decontamination, language ID, PII and token counts against brute force on small fixtures."""
+
+import hashlib
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from storelens.llm import decontamination as D
+from storelens.llm import language as L
+from storelens.llm import pii as P
+from storelens.llm import tokens as T
+
+WORDS = [f"w{i}" for i in range(40)]
+
+
+def _lower(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+
+
+def _expected_hits(docs, items):
+    pattern = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    windows = {}
+    for item, text in items:
+        w = pattern.findall(_lower(text))
+        n = min(10, len(w))
+        for i in range(len(w) - n + 1) if n else ():
+            windows.setdefault(tuple(w[i:i + n]), set()).add(item)
+    out = []
+    for doc, text in docs:
+        w, hit, found = pattern.findall(_lower(text)), set(), set()
+        for win, ids in windows.items():
+            for i in range(len(w) - len(win) + 1):
+                if tuple(w[i:i + len(win)]) == win:
+                    hit |= set(range(i, i + len(win)))
+                    found |= ids
+        ids = sorted(str(x) for x in found if x is not None)
+        out.append((doc, len(w), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit)))
+    return sorted(out, key=repr)
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = np.random.default_rng(0)
+    text = lambda n: " ".join(rng.choice(WORDS, n))
+    items = [(i, text(int(n))) for i, n in enumerate([12, 30, 10, 9, 5, 3, 15, 15])]
+    items += [(1, text(11)), (20, None), (21, ""), (22, "..."), (None, text(12)), (30, "a " * 25), (31, "É Ünï ok"), (32, "É Ünï ok")]
+    docs = [(i, text(int(rng.integers(0, 60)))) for i in range(30)]
+    docs += [(100 + i, f"{text(8)}, {t.upper()}! {text(5)}") for i, (_, t) in enumerate(items) if t]
+    docs += [(200, None), (201, ""), (202, "?!"), (203, "a " * 500), (None, items[0][1]), (204, "É Ünï OK"), (204, "É Ünï OK"), (205, "é Ünï OK")]
+    d = spark.createDataFrame([(*x, "c") for x in docs], "doc_id long, text string, key string")
+    b = spark.createDataFrame([(*x, 0) for x in items], "item_id long, text string, fp int")
+    got = sorted((tuple(r) for r in D.decontamination_report(d, b).collect()), key=repr)
+    assert got == _expected_hits(docs, items)
+    kept = D.drop_contaminated(d, b)
+    assert kept.columns == d.columns
+    clean = sorted((x[0] for x in _expected_hits(docs, items) if not x[5]), key=repr)
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == clean
+
+
+def test_decontamination_of_empty_tables(spark):
+    d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    b = spark.createDataFrame([], "item_id long, text string")
+    assert [tuple(r)[:4] for r in D.decontamination_report(d, b).collect()] == [(1, 2, 0, 0)]
+    assert D.decontamination_report(d.limit(0), b).count() == 0
+
+
+def test_gradients_are_those_of_the_loss():
+    p = {k: v.astype(np.float64) for k, v in L.init(3, 4).items()}
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(1, 256, (7, 5)).astype(np.uint8), np.array([0, 1, 2, 1, 0])
+    x[5:, 2] = L.PAD
+    _, g = L.gradients(p, x, y)
+    for k in p:
+        at = (x[3, 1], 5) if k[0] == "X" else tuple(0 for _ in p[k].shape)
+        keep, e = p[k][at], 1e-3
+        p[k][at] = keep + e
+        up = L.gradients(p, x, y)[0]
+        p[k][at] = keep - e
+        down = L.gradients(p, x, y)[0]
+        p[k][at] = keep
+        assert g[k][at] == pytest.approx((up - down) / (2 * e), rel=2e-2, abs=1e-5)
+
+
+def test_language_held_out_accuracy_and_edges(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    langs, net = L.fit(docs)
+    held = docs.where("crc32(CAST(doc_id AS STRING)) % 4 = 2")
+    out, pred, _ = L.predict(held, langs, net)
+    rows = out.select("lang", pred).collect()
+    assert np.mean([a == b for a, b in rows]) > 0.95
+    odd = spark.createDataFrame([(1, None, "x", 0.5), (2, "", "x", 0.5), (3, "123 ?!", "x", 0.5), (None, "the and " * 20, "x", 0.5)],
+                                "doc_id long, text string, lang_pred string, score double")
+    out, pred, score = L.predict(odd, langs, net)
+    got = {r["doc_id"]: (r[pred], r[score], r["lang_pred"]) for r in out.collect()}
+    assert got[1] == got[2] == got[3] == ("und", 0.0, "x")
+    assert got[None][0] == "en" and 0 < got[None][1] <= 1
+    none = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
+    assert [tuple(r) for r in L.language_report(none).collect()] == [(1, False, "und", 0.0)]
+    assert L.language_report(docs.limit(0)).count() == 0
+
+
+def _luhn(d):
+    s = 0
+    for i, c in enumerate(reversed(d)):
+        v = int(c) * (1 + i % 2)
+        s += v - 9 if v > 9 else v
+    return s % 10 == 0
+
+
+def _base_spans(t):
+    t, out = t or "", []
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    kinds = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+             ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+             ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(digits(m)) <= 19 and _luhn(digits(m))),
+             ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(digits(m)) <= 15)]
+    for kind, pattern, ok in kinds:
+        out += [f"{kind}:{m.start()}:{m.end()}" for m in re.finditer(pattern, t) if ok(m[0])]
+    return ",".join(out)
+
+
+def test_pii_base_spans_equal_plain_expressions(spark):
+    rng = np.random.default_rng(2)
+    bits = ["a@b.com", "_c@d.org", "x@y", "@", "1.2.3.4", ".5.6.7.8", "999.1.1.1", "000255.0.0.1", "256.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112",
+            "5", " ", "-", "+1 (234) 567-8901", "+49 30 1234", "+", "é", "😀", "mail: ", "card ", "\n", "GB82WEST12345698765432", "GB82WEST12345698765431"]
+    docs = [(i, "".join(rng.choice(bits, int(rng.integers(0, 9))))) for i in range(300)]
+    docs += [(400, None), (401, ""), (402, "7" * 30_000), (403, "a" * 30_000), (404, "+1" + "(" * 30_000), (405, "a@b.c " * 300), (405, "a@b.c " * 300)]
+    d = spark.createDataFrame([(*x, 1) for x in docs], "doc_id long, text string, email int")
+    got = sorted((r.doc_id, r.base_sha256) for r in P.pii_report(d).collect())
+    assert got == sorted((i, hashlib.sha256(_base_spans(t).encode()).hexdigest()) for i, t in docs)
+    assert P.pii_report(d.limit(0)).count() == 0
+
+
+def test_pii_iban_and_context(spark):
+    d = spark.createDataFrame([(1, "IBAN GB82WEST12345698765432, GB82WEST12345698765431 e-mail x@y.zz")], "doc_id long, text string")
+    r = P.pii_report(d).collect()[0]
+    assert r.spans == "email:59:65,iban:5:27" and r.n_iban == 1 and r.n_context == 2
+
+
+def _tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return T.counter(path), Tokenizer.from_file(path)
+
+
+def test_every_prefix_has_the_library_s_count():
+    c, lib = _tokenizer()
+    rng = np.random.default_rng(3)
+    bits = ["a", "the", " ", "  ", "\n", "'", "s", "re", "'ll", "1", "23", "é", "ß", "!", "..", "\t", "<|endoftext|>", "<|end", "漢", "😀", "don't", "ing", " ", "՘"]
+    for _ in range(250):
+        s = "".join(rng.choice(bits, int(rng.integers(0, 13))))
+        want = [len(lib.encode(s[:i], add_special_tokens=False).ids) for i in range(len(s) + 1)]
+        assert c.prefix_counts(s).tolist() == want and c.count(s) == want[-1], s
+        for budget in (0, 1, 4):
+            assert c.longest_prefix(s, budget) == max(i for i, n in enumerate(want) if n <= budget), (s, budget)
+
+
+def test_token_report_equals_the_library(spark):
+    _, lib = _tokenizer()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").union(
+        spark.createDataFrame([(None, None), (-1, ""), (-2, " "), (-3, "x" * 20_000), (-3, "x" * 20_000)], "doc_id long, text string"))
+    want = []
+    for i, t in docs.collect():
+        n = len(lib.encode(t or "", add_special_tokens=False).ids)
+        want.append((i, len((t or "").encode()), n, n > 1024))
+    got = [tuple(r)[:4] for r in T.token_report(docs.withColumn("t", F.lit(1))).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert T.token_report(docs.limit(0)).count() == 0
