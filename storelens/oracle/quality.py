@@ -1,148 +1,113 @@
-"""DuckDB oracles for the validation suite: the source statements, one per check, unioned."""
+"""DuckDB oracles for the validation suite, built from a table of checks.
+
+A check is its source and the condition of the rows it counts (none: all rows); missing partners are
+found with anti joins.
+"""
 
 from __future__ import annotations
 
-from .star import R, with_star
-from .star import STG_APPS_SQL, STG_REVIEWS_SQL
+from .star import STG_APPS_SQL, STG_REVIEWS_SQL, R, with_star
 from .star_build import DIM_BUILT
 
 AS_OF = "DATE '2001-12-31'"
+DIM, FACT = "dim_apps", "fact_user_reviews"
+ORPHANS = f"{FACT} ANTI JOIN {DIM} USING (app_id)"
+UNREVIEWED = f"{DIM} ANTI JOIN {FACT} USING (app_id)"
+RAW_ORPHANS = "(SELECT trim(app) AS app_name FROM stg_reviews) ANTI JOIN dim_built USING (app_name)"
+
+
+def _outside(column: str, low: int, high: int) -> str:
+    return f"NOT {column} BETWEEN {low} AND {high}"
+
 
-# check_id -> (label, kind, SELECT producing one BIGINT value `v`)
-CHECK_SQL = {
-    "V1.1": ("stg_google_play_apps", "row_count", "SELECT COUNT(*) AS v FROM stg_apps"),
-    "V1.2": ("stg_google_play_reviews", "row_count", "SELECT COUNT(*) AS v FROM stg_reviews"),
-    "V2.1": ("dim_apps", "row_count", "SELECT COUNT(*) AS v FROM dim_apps"),
-    "V2.2": ("fact_user_reviews", "row_count", "SELECT COUNT(*) AS v FROM fact_user_reviews"),
-    "V3.1": ("dim_apps.app_name IS NULL", "violation",
-             "SELECT COUNT(*) AS v FROM dim_apps WHERE app_name IS NULL"),
-    "V3.2": ("dim_apps.category IS NULL", "violation",
-             "SELECT COUNT(*) AS v FROM dim_apps WHERE category IS NULL"),
-    "V3.3": ("dim_apps.rating IS NULL", "violation",
-             "SELECT COUNT(*) AS v FROM dim_apps WHERE rating IS NULL"),
-    "V3.4": ("dim_apps.installs_count IS NULL", "violation",
-             "SELECT COUNT(*) AS v FROM dim_apps WHERE installs_count IS NULL"),
-    "V3.5": ("dim_apps.content_rating IS NULL", "violation",
-             "SELECT COUNT(*) AS v FROM dim_apps WHERE content_rating IS NULL"),
-    "V3.6": ("fact_user_reviews.app_id IS NULL", "violation",
-             "SELECT COUNT(*) AS v FROM fact_user_reviews WHERE app_id IS NULL"),
-    "V3.7": ("fact_user_reviews.sentiment IS NULL", "violation",
-             "SELECT COUNT(*) AS v FROM fact_user_reviews WHERE sentiment IS NULL"),
-    "V5.1": ("rating NOT BETWEEN 0 AND 5", "violation",
-             "SELECT COUNT(*) AS v FROM dim_apps WHERE rating IS NOT NULL AND (rating < 0 OR rating > 5)"),
-    "V5.2": ("installs_count < 0", "violation",
-             "SELECT COUNT(*) AS v FROM dim_apps WHERE installs_count < 0"),
-    "V5.3": ("price_usd < 0", "violation", "SELECT COUNT(*) AS v FROM dim_apps WHERE price_usd < 0"),
-    "V5.5": ("sentiment_polarity NOT BETWEEN -1 AND 1", "violation",
-             "SELECT COUNT(*) AS v FROM fact_user_reviews WHERE sentiment_polarity IS NOT NULL "
-             "AND (sentiment_polarity < -1 OR sentiment_polarity > 1)"),
-    "V5.6": ("sentiment_subjectivity NOT BETWEEN 0 AND 1", "violation",
-             "SELECT COUNT(*) AS v FROM fact_user_reviews WHERE sentiment_subjectivity IS NOT NULL "
-             "AND (sentiment_subjectivity < 0 OR sentiment_subjectivity > 1)"),
-    "V6.1": ("empty_or_null_review_text", "violation",
-             "SELECT COUNT(*) AS v FROM fact_user_reviews WHERE review_text IS NULL OR TRIM(review_text) = ''"),
-    "V7.1": ("orphan_fact_user_reviews", "violation",
-             "SELECT COUNT(*) AS v FROM fact_user_reviews f LEFT JOIN dim_apps d ON f.app_id = d.app_id "
-             "WHERE d.app_id IS NULL"),
-    "V7.1r": ("orphan_raw_reviews", "violation",
-              "SELECT COUNT(*) AS v FROM stg_reviews r LEFT JOIN dim_built d ON trim(r.app) = d.app_name "
-              "WHERE d.app_name IS NULL"),
-    "V8.2": ("apps_without_reviews", "count",
-             "SELECT COUNT(*) AS v FROM dim_apps d LEFT JOIN fact_user_reviews f ON d.app_id = f.app_id "
-             "WHERE f.review_id IS NULL"),
-    "V9.1": ("categories_with_null", "violation",
-             "SELECT COUNT(*) AS v FROM dim_apps WHERE category IS NULL OR TRIM(category) = ''"),
-    "V9.2": ("distinct_categories", "count", "SELECT COUNT(DISTINCT category) AS v FROM dim_apps"),
-    "V9.3": ("distinct_genres", "count", "SELECT COUNT(DISTINCT genres) AS v FROM dim_apps"),
-    "V10.1": ("last_updated_date IS NULL", "violation",
-              "SELECT COUNT(*) AS v FROM dim_apps WHERE last_updated_date IS NULL"),
-    "V10.2": ("last_updated_date > NOW()", "violation",
-              f"SELECT COUNT(*) AS v FROM dim_apps WHERE last_updated_date > {AS_OF}"),
-    "V11.1": ("size_in_mb IS NULL", "violation",
-              "SELECT COUNT(*) AS v FROM dim_apps WHERE size_in_mb IS NULL"),
+# id: (label of the report, kind, source, counted rows or "distinct <column>")
+CHECKS = {
+    "V1.1": ("stg_google_play_apps", "row_count", "stg_apps", ""),
+    "V1.2": ("stg_google_play_reviews", "row_count", "stg_reviews", ""),
+    "V2.1": (DIM, "row_count", DIM, ""),
+    "V2.2": (FACT, "row_count", FACT, ""),
+    **{f"V3.{i}": (f"{t}.{c} IS NULL", "violation", t, f"{c} IS NULL") for i, (t, c) in enumerate(
+        [*((DIM, c) for c in ("app_name", "category", "rating", "installs_count", "content_rating")), (FACT, "app_id"), (FACT, "sentiment")], 1)},
+    "V5.1": ("rating NOT BETWEEN 0 AND 5", "violation", DIM, _outside("rating", 0, 5)),
+    "V5.2": ("installs_count < 0", "violation", DIM, "sign(installs_count) = -1"),
+    "V5.3": ("price_usd < 0", "violation", DIM, "sign(price_usd) = -1"),
+    "V5.5": ("sentiment_polarity NOT BETWEEN -1 AND 1", "violation", FACT, _outside("sentiment_polarity", -1, 1)),
+    "V5.6": ("sentiment_subjectivity NOT BETWEEN 0 AND 1", "violation", FACT, _outside("sentiment_subjectivity", 0, 1)),
+    "V6.1": ("empty_or_null_review_text", "violation", FACT, "coalesce(trim(review_text), '') = ''"),
+    "V7.1": ("orphan_fact_user_reviews", "violation", ORPHANS, ""),
+    "V7.1r": ("orphan_raw_reviews", "violation", RAW_ORPHANS, ""),
+    "V8.2": ("apps_without_reviews", "count", UNREVIEWED, ""),
+    "V9.1": ("categories_with_null", "violation", DIM, "coalesce(trim(category), '') = ''"),
+    "V9.2": ("distinct_categories", "count", DIM, "distinct category"),
+    "V9.3": ("distinct_genres", "count", DIM, "distinct genres"),
+    "V10.1": ("last_updated_date IS NULL", "violation", DIM, "last_updated_date IS NULL"),
+    "V10.2": ("last_updated_date > NOW()", "violation", DIM, f"last_updated_date - {AS_OF} > 0"),
+    "V11.1": ("size_in_mb IS NULL", "violation", DIM, "size_in_mb IS NULL"),
 }
 
 
+def _counted(rule: str) -> str:
+    if rule.startswith("distinct "):
+        return f"count({rule})"
+    return f"count(*) FILTER ({rule})" if rule else "count(*)"
+
+
+def _stack(ids, label: str = "validation", value: str = "violation_count", meta: bool = False) -> str:
+    rows = []
+    for i in ids:
+        name, kind, source, rule = CHECKS[i]
+        first = f"'{i}' AS check_id, '{kind}' AS metric_kind, " if meta else ""
+        rows.append(f"(SELECT {first}'{name}' AS {label}, CAST({_counted(rule)} AS BIGINT) AS {value} FROM {source})")
+    return " UNION ALL ".join(rows)
+
+
 def _all(body: str) -> str:
     return with_star(body, STG_APPS_SQL, STG_REVIEWS_SQL, DIM_BUILT)
 
 
-def _union(ids, label="validation", value="violation_count", with_meta=False) -> str:
-    parts = []
-    for i in ids:
-        lab, kind, sql = CHECK_SQL[i]
-        meta = f"'{i}' AS check_id, '{kind}' AS metric_kind, " if with_meta else ""
-        parts.append(f"SELECT {meta}'{lab}' AS {label}, CAST(v AS BIGINT) AS {value} FROM ({sql}) t")
-    return "\nUNION ALL\n".join(parts)
+def _stats(column: str, source: str, places: int) -> str:
+    return (f"SELECT '{column}' AS metric, CAST(min({column}) AS DOUBLE) AS min_value, CAST(max({column}) AS DOUBLE) AS max_value, "
+            f"{R(f'avg({column})', places)} AS avg_value, count({column}) AS non_null_count FROM {source}")
+
+
+def _repeated(source: str, keys: str, tail: str) -> str:
+    return with_star(f"SELECT {keys}, count(*) AS occurrence_count FROM {source} GROUP BY ALL HAVING occurrence_count >= 2 {tail}")
+
+
+def _sizes(more: str) -> str:
+    return with_star(f"SELECT app_name, size_raw, CAST(size_in_mb AS DOUBLE) AS size_in_mb FROM {DIM} WHERE {more} "
+                     "ORDER BY dim_apps.size_in_mb DESC, app_name LIMIT 10")
 
 
-REPORT = _union(list(CHECK_SQL), "validation", "value", with_meta=True)
+REPORT = _stack(CHECKS, "validation", "value", meta=True)
 
 ORACLE: dict[str, str] = {
     "v_report": _all(REPORT),
-    "v_issues": _all(f"SELECT * FROM ({REPORT}) r WHERE metric_kind = 'violation' AND value > 0"),
+    "v_issues": _all(f"FROM ({REPORT}) WHERE value > 0 AND metric_kind = 'violation'"),
     "v_summary": _all(f"""
-SELECT CAST(COUNT(*) AS BIGINT) AS total_checks, CAST(COUNT(*) AS BIGINT) AS passed,
-    CAST(0 AS BIGINT) AS failed,
-    CAST(SUM(CASE WHEN metric_kind = 'violation' AND value > 0 THEN 1 ELSE 0 END) AS BIGINT) AS issues
-FROM ({REPORT}) r"""),
-    "v_rowcounts": _all(_union(["V1.1", "V1.2", "V2.1", "V2.2"], "table_name", "total_rows")),
-    "v_nulls_dim": _all(_union(["V3.1", "V3.2", "V3.3", "V3.4", "V3.5"])),
-    "v_nulls_fact": _all(_union(["V3.6", "V3.7"])),
-    "v_dup_apps": with_star("""
-SELECT app_name, CAST(COUNT(*) AS BIGINT) AS occurrence_count FROM dim_apps
-GROUP BY app_name HAVING COUNT(*) > 1 ORDER BY occurrence_count DESC"""),
-    "v_dup_reviews": with_star("""
-SELECT app_id, review_text, CAST(COUNT(*) AS BIGINT) AS occurrence_count FROM fact_user_reviews
-WHERE review_text IS NOT NULL GROUP BY app_id, review_text HAVING COUNT(*) > 1
-ORDER BY occurrence_count DESC, app_id, review_text LIMIT 20"""),
-    "v_ranges": _all(_union(["V5.1", "V5.2", "V5.3", "V5.5", "V5.6"])),
-    "v_bad_sentiment": with_star("""
-SELECT sentiment, CAST(COUNT(*) AS BIGINT) AS total_rows FROM fact_user_reviews
-WHERE sentiment IS NOT NULL AND sentiment NOT IN ('Positive', 'Negative', 'Neutral')
-GROUP BY sentiment ORDER BY total_rows DESC"""),
-    "v_empty_text": _all(_union(["V6.1"])),
-    "v_orphans": _all(_union(["V7.1", "V7.1r"])),
-    "v_unreviewed_list": with_star("""
-SELECT d.app_id, d.app_name, d.category FROM dim_apps d
-LEFT JOIN fact_user_reviews f ON d.app_id = f.app_id WHERE f.review_id IS NULL
-ORDER BY d.app_name, d.app_id LIMIT 25"""),
-    "v_unreviewed_count": _all(_union(["V8.2"], "validation", "total_count")),
-    "v_blank_category": _all(_union(["V9.1"])),
-    "v_distincts": _all(_union(["V9.2", "V9.3"], "metric", "total_count")),
-    "v_category_breakdown": with_star("""
-SELECT category, CAST(COUNT(*) AS BIGINT) AS app_count FROM dim_apps GROUP BY category
-ORDER BY app_count DESC"""),
-    "v_dates": _all(_union(["V10.1", "V10.2"])),
-    "v_date_range": with_star("""
-SELECT MIN(last_updated_date) AS earliest_update, MAX(last_updated_date) AS latest_update
-FROM dim_apps WHERE last_updated_date IS NOT NULL"""),
-    "v_size_null": _all(_union(["V11.1"])),
-    "v_size_large": with_star("""
-SELECT app_name, CAST(size_in_mb AS DOUBLE) AS size_in_mb, size_raw FROM dim_apps
-WHERE size_in_mb > 500 ORDER BY size_in_mb DESC, app_name LIMIT 10"""),
-    "v_size_sample": with_star("""
-SELECT app_name, size_raw, CAST(size_in_mb AS DOUBLE) AS size_in_mb FROM dim_apps
-WHERE size_in_mb IS NOT NULL ORDER BY size_in_mb DESC, app_name LIMIT 10"""),
-    "v_stats": with_star(f"""
-SELECT 'rating' AS metric, CAST(MIN(rating) AS DOUBLE) AS min_value, CAST(MAX(rating) AS DOUBLE) AS max_value,
-    {R('AVG(rating)', 2)} AS avg_value, CAST(COUNT(*) AS BIGINT) AS non_null_count
-FROM dim_apps WHERE rating IS NOT NULL
-UNION ALL
-SELECT 'installs_count', CAST(MIN(installs_count) AS DOUBLE), CAST(MAX(installs_count) AS DOUBLE),
-    {R('AVG(installs_count)', 0)}, CAST(COUNT(*) AS BIGINT)
-FROM dim_apps WHERE installs_count IS NOT NULL
-UNION ALL
-SELECT 'price_usd', CAST(MIN(price_usd) AS DOUBLE), CAST(MAX(price_usd) AS DOUBLE),
-    {R('AVG(price_usd)', 2)}, CAST(COUNT(*) AS BIGINT)
-FROM dim_apps WHERE price_usd IS NOT NULL
-UNION ALL
-SELECT 'sentiment_polarity', CAST(MIN(sentiment_polarity) AS DOUBLE),
-    CAST(MAX(sentiment_polarity) AS DOUBLE), {R('AVG(sentiment_polarity)', 4)}, CAST(COUNT(*) AS BIGINT)
-FROM fact_user_reviews WHERE sentiment_polarity IS NOT NULL
-UNION ALL
-SELECT 'sentiment_subjectivity', CAST(MIN(sentiment_subjectivity) AS DOUBLE),
-    CAST(MAX(sentiment_subjectivity) AS DOUBLE), {R('AVG(sentiment_subjectivity)', 4)},
-    CAST(COUNT(*) AS BIGINT)
-FROM fact_user_reviews WHERE sentiment_subjectivity IS NOT NULL"""),
+SELECT count(*) AS total_checks, count(value) AS passed, count(*) - count(value) AS failed,
+  count(*) FILTER (value > 0 AND metric_kind = 'violation') AS issues FROM ({REPORT})"""),
+    "v_rowcounts": _all(_stack(["V1.1", "V1.2", "V2.1", "V2.2"], "table_name", "total_rows")),
+    "v_nulls_dim": _all(_stack([f"V3.{i}" for i in range(1, 6)])),
+    "v_nulls_fact": _all(_stack(["V3.6", "V3.7"])),
+    "v_dup_apps": _repeated(DIM, "app_name", ""),
+    "v_dup_reviews": _repeated(f"(FROM {FACT} WHERE review_text IS NOT NULL)", "app_id, review_text", "ORDER BY 3 DESC, 1, 2 LIMIT 20"),
+    "v_ranges": _all(_stack(["V5.1", "V5.2", "V5.3", "V5.5", "V5.6"])),
+    "v_bad_sentiment": with_star(
+        f"SELECT sentiment, count(*) AS total_rows FROM {FACT} WHERE NOT list_contains(['Positive', 'Negative', 'Neutral'], sentiment) GROUP BY ALL"),
+    "v_empty_text": _all(_stack(["V6.1"])),
+    "v_orphans": _all(_stack(["V7.1", "V7.1r"])),
+    "v_unreviewed_list": with_star(f"SELECT app_id, app_name, category FROM {UNREVIEWED} ORDER BY app_name, app_id LIMIT 25"),
+    "v_unreviewed_count": _all(_stack(["V8.2"], "validation", "total_count")),
+    "v_blank_category": _all(_stack(["V9.1"])),
+    "v_distincts": _all(_stack(["V9.2", "V9.3"], "metric", "total_count")),
+    "v_category_breakdown": with_star(f"SELECT category, count(*) AS app_count FROM {DIM} GROUP BY ALL"),
+    "v_dates": _all(_stack(["V10.1", "V10.2"])),
+    "v_date_range": with_star(f"SELECT min(last_updated_date) AS earliest_update, max(last_updated_date) AS latest_update FROM {DIM}"),
+    "v_size_null": _all(_stack(["V11.1"])),
+    "v_size_large": _sizes("size_in_mb > 500"),
+    "v_size_sample": _sizes("size_in_mb IS NOT NULL"),
+    "v_stats": with_star(" UNION ALL ".join([
+        _stats("rating", DIM, 2), _stats("installs_count", DIM, 0), _stats("price_usd", DIM, 2),
+        _stats("sentiment_polarity", FACT, 4), _stats("sentiment_subjectivity", FACT, 4)])),
 }

@@ -128,7 +128,7 @@ def staging_apps(spark: SparkSession, sf_dir: str) -> DataFrame:
                .when(status == "P", CONTENT_BY_STATUS["P"]))
     return o.select(
         k.alias("raw_app_id"),
-        F.concat(F.lit("app_"), (k % 9000).cast("string")).alias("app"),
+        F.concat(F.lit("app_"), F.when(k % 5 == 0, k + 1).otherwise(k).cast("string")).alias("app"),
         F.when(k % 997 == 0, F.lit("1.9")).otherwise(F.col("o_orderpriority")).alias("category"),
         F.when(k % 7 == 0, F.lit("NaN"))
         .otherwise((F.lit(1) + (k * 37 % 41).cast("decimal(20,0)") / F.lit(10))
@@ -154,7 +154,7 @@ def staging_apps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def staging_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All-string raw reviews; names carry a leading blank, order keys >= 9000 are orphans."""
+    """All-string raw reviews; names carry a leading blank, order keys divisible by 5 are orphans."""
     f = fact_user_reviews(spark, sf_dir)
     return f.select(
         F.col("review_id").alias("raw_review_id"),
