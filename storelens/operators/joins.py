@@ -1,35 +1,18 @@
-"""Join helpers: broadcast only behind a checked size bound, anti-joins for NOT EXISTS."""
+"""Anti joins for NOT EXISTS."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-# Rows a small side may have before we stop hinting broadcast and let Spark shuffle.
-DEFAULT_BROADCAST_ROWS = 1_000_000
 
+def anti(left: DataFrame, right: DataFrame, on) -> DataFrame:
+    """``LEFT JOIN ... WHERE right.key IS NULL`` written as a left-anti join.
 
-def guarded_broadcast(small: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Return ``broadcast(small)`` if it provably has at most ``max_rows`` rows, else ``small``.
-
-    The check is a bounded job (``limit(max_rows + 1).count()``), so it never scans more
-    than ``max_rows + 1`` rows of output; beyond the bound the join falls back to the
-    planner's shuffle join (and AQE may still broadcast from runtime statistics).
+    With key names in ``on`` the right side is reduced to its distinct keys first, map-side too, so a
+    key that many rows hold is shuffled once for each task.
     """
-    n = small.limit(max_rows + 1).count()
-    return F.broadcast(small) if n <= max_rows else small
-
-
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    return big.join(guarded_broadcast(small, max_rows), on, how)
-
-
-def anti(left: DataFrame, right: DataFrame, on) -> DataFrame:
-    """``LEFT JOIN ... WHERE right.key IS NULL`` written as a left-anti join."""
+    if isinstance(on, str):
+        on = [on]
+    if isinstance(on, list) and all(isinstance(c, str) for c in on):
+        right = right.select(*on).distinct()
     return left.join(right, on, "left_anti")
-
-
-def semi(left: DataFrame, right: DataFrame, on) -> DataFrame:
-    return left.join(right, on, "left_semi")
-

@@ -75,11 +75,11 @@ GROUP BY ALL"""
 
 
 TFIDF = f"""
-, toks AS (SELECT doc_id, split, {terms('cleaned_review')} AS t FROM split_rows),
+, toks AS (SELECT doc_id, split, list_filter({terms('cleaned_review')}, lambda w: NOT list_contains({_STOPS}, w)) AS t FROM split_rows),
 grams AS (SELECT doc_id, split, unnest(list_concat(t, {bigrams('t')})) AS term FROM toks),
 tf AS (SELECT doc_id, split, term, COUNT(*) AS tf FROM grams GROUP BY doc_id, split, term),
 vocab AS (SELECT term, SUM(tf) AS cnt, COUNT(*) AS df FROM tf WHERE split = 'train'
-          GROUP BY term ORDER BY cnt DESC, term LIMIT 300),
+          GROUP BY term ORDER BY cnt DESC, term LIMIT 20000),
 ntrain AS (SELECT COUNT(*) AS n FROM split_rows WHERE split = 'train'),
 w AS (SELECT tf.doc_id, tf.term,
         (ln(tf.tf) + 1) * (ln((ntrain.n + 1.0) / (vocab.df + 1)) + 1) AS w
@@ -101,6 +101,7 @@ SELECT label, n_train, {R('n * 1.0 / (k * n_train)', 6)} AS weight
 FROM (SELECT label, CAST(COUNT(*) AS BIGINT) AS n_train FROM split_rows WHERE split = 'train' GROUP BY label) p,
      (SELECT COUNT(*) AS n, COUNT(DISTINCT label) AS k FROM split_rows WHERE split = 'train') t"""),
     "p_tfidf_sql": BASE.rstrip() + TFIDF,
+    "p_tfidf": BASE.rstrip() + TFIDF,
     "e_sentiment_distribution": q(f"""
 SELECT sentiment, CAST(COUNT(*) AS BIGINT) AS n_reviews, {PCT('COUNT(*)', 'SUM(COUNT(*)) OVER ()')} AS pct
 FROM corpus GROUP BY sentiment"""),

@@ -17,6 +17,7 @@ are deterministic; the source SQL leaves them to the engine.
 from __future__ import annotations
 
 import datetime as _dt
+from functools import partial
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ from ..operators.shares import pct, rnd, share_of_total
 from ..operators.topk import rank_at_most, top_k, top_k_ranked, top_n_per_group
 
 C = F.col
+#: The date of the given tables, for the registered query; the operator defaults to today.
 AS_OF = _dt.date(2001, 12, 31)
 
 
@@ -70,10 +72,10 @@ def q03_category_top3(dim: DataFrame, fact: DataFrame | None = None, n: int = 3)
 
 
 def q04_recent_high_rated(dim: DataFrame, fact: DataFrame | None = None, k: int = 15,
-                          as_of: _dt.date = AS_OF) -> DataFrame:
+                          as_of: _dt.date | None = None) -> DataFrame:
     rows = dim.where((C("rating") >= 4.0) & C("last_updated_date").isNotNull()).select(
         "app_name", "category", _dbl("rating"), "last_updated_date",
-        F.datediff(F.lit(as_of), C("last_updated_date")).cast("bigint").alias("days_since_update"))
+        F.datediff(F.current_date() if as_of is None else F.lit(as_of), C("last_updated_date")).cast("bigint").alias("days_since_update"))
     return top_k(rows, [C("last_updated_date").desc(), C("app_name")], k)
 
 
@@ -440,7 +442,7 @@ QUERIES = {
     "q01_top_installs": q01_top_installs,
     "q02_quality_rank": q02_quality_rank,
     "q03_category_top3": q03_category_top3,
-    "q04_recent_high_rated": q04_recent_high_rated,
+    "q04_recent_high_rated": partial(q04_recent_high_rated, as_of=AS_OF),
     "q05_rating_tiers": q05_rating_tiers,
     "q06_free_vs_paid_rating": q06_free_vs_paid_rating,
     "q07_content_rating": q07_content_rating,

@@ -62,19 +62,17 @@ def preprocess(corpus: DataFrame) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P1-P4 in one pass: the text is cleaned once, before the dedupe shuffle.
+    """The rows to keep are found on (id, hash) alone, then only these are cleaned.
 
-    ``cleaned_review`` is a function of ``text``, so it is carried through the (text,
-    sentiment) aggregation with ``min`` (all values in a group are equal). Writing the
-    blank filter on the aggregate's output keeps the optimizer from pushing it below the
-    aggregation, which would evaluate the cleaning expression twice per document.
+    Grouping by a 256-bit hash of the text keeps whole texts out of the shuffle keys (a hash
+    aggregate with map-side reduction; a hot group of copies costs a row for each task).
     """
     raw = reviews_from_documents(spark, sf_dir)
     ok = raw.where(C("text").isNotNull() & C("sentiment").isNotNull()
-                   & C("sentiment").isin(SENTIMENTS))
-    deduped = (ok.withColumn("cleaned_review", clean_text(C("text")))
-               .groupBy("text", "sentiment")
-               .agg(F.min("doc_id").alias("doc_id"), F.min("cleaned_review").alias("cleaned_review")))
+                   & C("sentiment").isin(SENTIMENTS)).withColumn("__key", F.unhex(F.sha2("text", 256)))
+    first = ok.groupBy("__key", "sentiment").agg(F.min("doc_id").alias("doc_id"))
+    deduped = ok.join(first, ["__key", "sentiment", "doc_id"], "left_semi").withColumn(
+        "cleaned_review", clean_text(C("text")))
     return (deduped.where(F.length("cleaned_review") > 0)
             .select("doc_id", "text", "sentiment", "cleaned_review",
                     label_of(C("sentiment")).alias("label")))
@@ -128,24 +126,27 @@ def class_weights(split: DataFrame) -> DataFrame:
 
 
 # ----------------------------------------------------------------------------- P9 TF-IDF
-def tfidf_long(split: DataFrame, vocab_size: int = 300, ngram_max: int = 2) -> DataFrame:
+def tfidf_long(split: DataFrame, vocab_size: int = 20000, ngram_max: int = 2,
+               stop_words=ENGLISH_STOP_WORDS) -> DataFrame:
     """TF-IDF weights as long rows (doc_id, term, weight), fit on the train split.
 
-    uni+bi-grams of >= 2-character tokens; vocabulary = top ``vocab_size`` terms by train
-    count (ties by term); tf = 1 + ln(count); idf = ln((1 + n) / (1 + df)) + 1; rows are
-    L2-normalised over the vocabulary terms of the document.
+    Stop words go first; uni+bi-grams of >= 2-character tokens; vocabulary = top ``vocab_size``
+    terms by train count (ties by term); tf = 1 + ln(count); idf = ln((1 + n) / (1 + df)) + 1; rows
+    are L2-normalised over the vocabulary terms of the document. Terms outside the vocabulary
+    are dropped before the per-document counts are shuffled.
     """
-    toks = split.select("doc_id", "split", terms(C("cleaned_review")).alias("__t"))
-    grams = toks.select("doc_id", "split", F.explode(
-        F.concat(*[ngrams(C("__t"), n) for n in range(1, ngram_max + 1)])).alias("term"))
-    tf = grams.groupBy("doc_id", "split", "term").agg(F.count(F.lit(1)).alias("tf"))
-    train_tf = tf.where(C("split") == "train")
-    vocab = top_k(train_tf.groupBy("term").agg(F.sum("tf").alias("__cnt"),
-                                               F.count(F.lit(1)).alias("__df")),
+    tokens = terms(strip_stop_words(C("cleaned_review"), stop_words))
+    toks = split.select("doc_id", "split", tokens.alias("__t")).select(
+        "doc_id", "split", F.concat(*[ngrams(C("__t"), n) for n in range(1, ngram_max + 1)]).alias("__g"))
+    seen = toks.where(C("split") == "train")
+    counted = seen.select(F.explode("__g").alias("term"), F.lit(1).alias("c"), F.lit(0).alias("d")).union(
+        seen.select(F.explode(F.array_distinct("__g")), F.lit(0), F.lit(1)))
+    vocab = top_k(counted.groupBy("term").agg(F.sum("c").alias("__cnt"), F.sum("d").alias("__df")),
                   [C("__cnt").desc(), C("term")], vocab_size)
     n_train = split.where(C("split") == "train").agg(F.count(F.lit(1))).scalar()
     idf = vocab.select("term", (F.log((n_train + 1) / (C("__df") + 1)) + 1).alias("__idf"))
-    w = tf.join(F.broadcast(idf), "term").withColumn(
+    known = toks.select("doc_id", F.explode("__g").alias("term")).join(F.broadcast(idf), "term")
+    w = known.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("__idf").alias("__idf")).withColumn(
         "__w", (F.log(C("tf")) + 1) * C("__idf"))
     norm = F.sqrt(F.sum(C("__w") * C("__w")).over(Window.partitionBy("doc_id")))
     return w.select("doc_id", "term", rnd(C("__w") / norm, 6).alias("weight"))

@@ -11,7 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.testdata import star
-from . import analytics
+from ..oracle import analytics as oracle_analytics
+from ..oracle import corpus as oracle_corpus
+from ..oracle import dashboard as oracle_dashboard
+from ..oracle import evaluation as oracle_evaluation
+from ..oracle import quality as oracle_quality
+from ..oracle import star_build as oracle_star_build
+from . import analytics, corpus, dashboard, evaluation, modeling, quality
+from . import star as star_plans
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -25,36 +32,14 @@ def _on_star(fn) -> Builder:
 
 
 def queries() -> dict[str, Builder]:
-    out: dict[str, Builder] = {}
-    out.update({k: _on_star(v) for k, v in analytics.QUERIES.items()})
-    for mod in _extra_modules():
-        out.update(mod.QUERIES)
+    out: dict[str, Builder] = {k: _on_star(v) for k, v in analytics.QUERIES.items()}
+    for mod in (star_plans, quality, dashboard, corpus, evaluation, modeling):
+        out |= mod.QUERIES
     return out
 
 
 def oracle_sql() -> dict[str, str]:
-    from ..oracle import analytics as oa
-    out = dict(oa.ORACLE)
-    for mod in _extra_oracles():
-        out.update(mod.ORACLE)
+    out: dict[str, str] = {}
+    for mod in (oracle_analytics, oracle_star_build, oracle_quality, oracle_dashboard, oracle_corpus, oracle_evaluation):
+        out |= mod.ORACLE
     return out
-
-
-def _extra_modules():
-    mods = []
-    for name in ("star", "quality", "dashboard", "corpus", "evaluation", "modeling", "profile"):
-        try:
-            mods.append(__import__(f"storelens.plans.{name}", fromlist=["QUERIES"]))
-        except ModuleNotFoundError:
-            pass
-    return [m for m in mods if hasattr(m, "QUERIES")]
-
-
-def _extra_oracles():
-    mods = []
-    for name in ("star_build", "quality", "dashboard", "corpus", "evaluation", "profile"):
-        try:
-            mods.append(__import__(f"storelens.oracle.{name}", fromlist=["ORACLE"]))
-        except ModuleNotFoundError:
-            pass
-    return [m for m in mods if hasattr(m, "ORACLE")]

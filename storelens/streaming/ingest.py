@@ -28,8 +28,9 @@ def stream_staging(spark: SparkSession, landing: str, staging: str, columns: lis
     rows = src.select(*[na_to_null(F.col(f"`{c}`")).alias(snake(c)) for c in columns])
 
     def write_batch(batch, batch_id: int) -> None:
-        ids = F.lit(batch_id).cast("bigint") * F.lit(1 << 40) + F.monotonically_increasing_id()
-        (batch.withColumn(load_id, ids).write.mode("overwrite")
+        # at most 2^11 partitions of 2^33 rows each fit below the next batch's ids
+        ids = F.lit(batch_id).cast("bigint") * F.lit(1 << 44) + F.monotonically_increasing_id()
+        (batch.coalesce(1 << 11).withColumn(load_id, ids).write.mode("overwrite")
          .parquet(f"{staging.rstrip('/')}/batch={batch_id}"))
 
     writer = (rows.writeStream.foreachBatch(write_batch)

@@ -31,3 +31,20 @@ def test_batch_score_columns(spark):
     assert len(out) == 2
     assert {r.predicted_sentiment for r in out} <= {"Negative", "Neutral", "Positive"}
     assert all(0 <= r.confidence_score <= 100 for r in out)
+
+
+def test_batch_score_keeps_equal_ids_apart_and_input_columns(spark):
+    split, vocab, train, _ = M.training_frames(spark, SF_SMALL)
+    model = M.fit_logistic_regression(train)
+    texts = [r.cleaned_review for r in split.orderBy("doc_id").limit(2).collect()]
+    docs = spark.createDataFrame([(1, texts[0], "x"), (1, texts[1], "y"), (1, texts[1], "y")], "doc_id long, text string, note string")
+    out = M.batch_score(model, vocab, docs)
+    assert out.columns[:3] == ["doc_id", "text", "note"]
+    each = {t: M.batch_score(model, vocab, docs.where(F.col("text") == t)).first().confidence_score for t in texts}
+    assert sorted((r.text, r.confidence_score) for r in out.collect()) == sorted([*each.items(), (texts[1], each[texts[1]])])
+
+
+def test_weights_have_length_one(spark):
+    split, vocab, _, _ = M.training_frames(spark, SF_SMALL)
+    w = M.tfidf_entries(split, vocab).groupBy("doc_id").agg(F.sum(F.col("w") * F.col("w")).alias("n")).collect()
+    assert w and all(abs(r.n - 1) < 1e-9 for r in w)
