@@ -1,5 +1,6 @@
 """Spark ML path on the smallest corpus: features, one fit, scoring, metrics, save/load."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from storelens.plans import modeling as M
@@ -7,11 +8,16 @@ from storelens.plans.evaluation import summary_metrics
 from tests.conftest import SF_SMALL
 
 
-def test_train_score_and_persist(spark, tmp_path):
+@pytest.fixture(scope="module")
+def fitted(spark):
     split, vocab, train, test = M.training_frames(spark, SF_SMALL)
+    return split, vocab, train, test, M.fit_logistic_regression(train)
+
+
+def test_train_score_and_persist(fitted, tmp_path):
+    split, vocab, train, test, model = fitted
     assert train.count() > 0 and test.count() > 0
     assert vocab.count() <= M.MAX_FEATURES
-    model = M.fit_logistic_regression(train)
     scored = M.score(model, test)
     row = scored.select((F.col("p0") + F.col("p1") + F.col("p2")).alias("s")).first()
     assert abs(row.s - 1.0) < 1e-9
@@ -23,9 +29,8 @@ def test_train_score_and_persist(spark, tmp_path):
     assert again.numClasses == model.numClasses
 
 
-def test_batch_score_columns(spark):
-    split, vocab, train, _ = M.training_frames(spark, SF_SMALL)
-    model = M.fit_logistic_regression(train)
+def test_batch_score_columns(spark, fitted):
+    _, vocab, _, _, model = fitted
     docs = spark.createDataFrame([(1, "The cat and the dog."), (2, None)], "doc_id long, User_Review string")
     out = M.batch_score(model, vocab, docs).collect()
     assert len(out) == 2
@@ -33,18 +38,18 @@ def test_batch_score_columns(spark):
     assert all(0 <= r.confidence_score <= 100 for r in out)
 
 
-def test_batch_score_keeps_equal_ids_apart_and_input_columns(spark):
-    split, vocab, train, _ = M.training_frames(spark, SF_SMALL)
-    model = M.fit_logistic_regression(train)
+def test_batch_score_keeps_equal_ids_apart_and_input_columns(spark, fitted):
+    split, vocab, _, _, model = fitted
     texts = [r.cleaned_review for r in split.orderBy("doc_id").limit(2).collect()]
     docs = spark.createDataFrame([(1, texts[0], "x"), (1, texts[1], "y"), (1, texts[1], "y")], "doc_id long, text string, note string")
     out = M.batch_score(model, vocab, docs)
     assert out.columns[:3] == ["doc_id", "text", "note"]
-    each = {t: M.batch_score(model, vocab, docs.where(F.col("text") == t)).first().confidence_score for t in texts}
+    alone = docs.withColumn("doc_id", F.monotonically_increasing_id()).dropDuplicates(["text"])
+    each = {r.text: r.confidence_score for r in M.batch_score(model, vocab, alone).collect()}
     assert sorted((r.text, r.confidence_score) for r in out.collect()) == sorted([*each.items(), (texts[1], each[texts[1]])])
 
 
-def test_weights_have_length_one(spark):
-    split, vocab, _, _ = M.training_frames(spark, SF_SMALL)
+def test_weights_have_length_one(fitted):
+    split, vocab, _, _, _ = fitted
     w = M.tfidf_entries(split, vocab).groupBy("doc_id").agg(F.sum(F.col("w") * F.col("w")).alias("n")).collect()
     assert w and all(abs(r.n - 1) < 1e-9 for r in w)
