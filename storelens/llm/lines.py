@@ -8,7 +8,8 @@ Edit join: a line of length l is split into threshold + 1 segments, and every li
 one of them unchanged, close to its place. Segments are indexed by (l, number, content); a line
 of length L probes the substrings that can match the index of lengths L - threshold ... L, by the
 multi-match-aware choice of start positions (a segment's shift is bounded by the edits that can lie
-on its left and on its right). Pairs that share a key are verified by banded
+on its left and on its right). Each different line is keyed once, however often it occurs. Lines that share a key and
+differ by no more bigram parities than the threshold allows are verified by banded
 bit-parallel edit distance: 2 * threshold + 1 diagonals as the bits of one number.
 
 Defined results: null and empty texts have no line to drop and stay as they are; rows that repeat doc_id and text
@@ -33,16 +34,9 @@ def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
     return short * i + before_long + 1, short + F.when(n_long >= parts - i, 1).otherwise(0)
 
 
-def index_keys(line: Column, length: Column, threshold: int) -> list[Column]:
-    out = []
-    for i in range(threshold + 1):
-        start, size = _segment(length, i, threshold + 1)
-        out.append(F.xxhash64(length, F.lit(i), F.substr(line, start, size)))
-    return out
-
-
-def probe_keys(line: Column, length: Column, threshold: int) -> list[Column]:
-    """Keys of all substrings that may equal a segment of a line that is no longer."""
+def segment_keys(line: Column, length: Column, threshold: int) -> list[tuple[Column, bool]]:
+    """Keys of all substrings that may equal a segment of a line that is no longer, and whether
+    the substring is a segment of the line itself."""
     out = []
     for delta in range(threshold + 1):
         other = length - delta
@@ -51,11 +45,22 @@ def probe_keys(line: Column, length: Column, threshold: int) -> list[Column]:
             low, high = max(-i, delta - (threshold - i)), min(i, delta + (threshold - i))
             for shift in range(low, high + 1):
                 at = start + shift
-                out.append(F.when((other > threshold) & (at >= 1) & (at + size - 1 <= length),
-                                  F.xxhash64(other, F.lit(i), F.substr(line, at, size))))
+                key = F.when((other > threshold) & (at >= 1) & (at + size - 1 <= length),
+                             F.xxhash64(other, F.lit(i), F.substr(line, at, size)))
+                out.append((key, delta == 0 and shift == 0))
     return out
 
 
+def bigram_parity(line: Column) -> Column:
+    """64 parities of the numbers of bigrams, by hash; an edit changes four at most."""
+    def body(p: Column) -> Column:
+        bit = lambda j: F.call_function("shiftleft", F.lit(1).cast("bigint"),
+                                        F.pmod(F.xxhash64(F.get(p, j - 1), F.get(p, j)), F.lit(64)).cast("int"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(p)), F.lit(0).cast("bigint"), lambda x, j: x.bitwiseXOR(bit(j)))
+
+    return let(F.split(line, ""), body)
+
+
 def banded_distance(a: Column, b: Column, threshold: int) -> Column:
     """Edit distance of strings if it is at most ``threshold``, else a larger number.
 
@@ -111,27 +116,42 @@ def _place() -> Column:
     return F.struct(F.col("id").isNull().alias("none"), "id", "h", "n")
 
 
+def _keyed(lines: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """``(key, l1)`` of the index and ``(p_key, p1)`` of the probes, a row for each different line."""
+    keys = segment_keys(F.col("line"), F.col("len"), threshold)
+    each = lines.select("l1", "l2", *[k.alias(f"k{j}") for j, (k, _) in enumerate(keys)])
+    different = each.groupBy("l1", "l2").agg(*[F.min(f"k{j}").alias(f"k{j}") for j in range(len(keys))])
+    rows = different.select("l1", F.explode(F.array(*[
+        F.struct(F.col(f"k{j}").alias("key"), F.lit(own).alias("own")) for j, (_, own) in enumerate(keys)])).alias("k"))
+    rows = rows.select("k.key", "k.own", "l1").where("key IS NOT NULL")
+    return rows.where("own").select("key", "l1"), rows.select(F.col("key").alias("p_key"), F.col("l1").alias("p1"))
+
+
 def near_lines(lines: DataFrame, threshold: int) -> DataFrame:
-    """``(l1, l2)`` of the lines that have a near line whose first occurrence is earlier."""
-    keyed = lambda keys: lines.select("l1", F.explode(F.array(*keys(F.col("line"), F.col("len"), threshold))).alias("key")).where(
-        "key IS NOT NULL")
-    index, probe = keyed(index_keys), keyed(probe_keys).withColumnRenamed("l1", "p1")
-    pairs = index.join(probe, (index["key"] == probe["key"]) & (index["l1"] != probe["p1"])).select(
-        F.least("l1", "p1").alias("x"), F.greatest("l1", "p1").alias("y")).distinct()
-    pairs = cut(pairs, "line-pairs")
-    ids = cut(pairs.select(F.explode(F.array("x", "y")).alias("i")).distinct(), "line-ids")
-    texts = cut(lines.join(ids, lines["l1"] == ids["i"], "left_semi").groupBy("l1", "l2").agg(
-        F.min(_place()).alias("place"), F.min("line").alias("line")), "line-texts")
-    left, right = (texts.select(*[F.col(c).alias(f"{side}_{c}") for c in texts.columns]) for side in "ab")
-    both = pairs.join(left, F.col("x") == F.col("a_l1")).join(right, F.col("y") == F.col("b_l1"))
-    swap = F.char_length("a_line") > F.char_length("b_line")
-    both = both.withColumns({"short": F.when(swap, F.col("b_line")).otherwise(F.col("a_line")),
-                             "long": F.when(swap, F.col("a_line")).otherwise(F.col("b_line"))})
-    near = both.where(F.char_length("long") - F.char_length("short") <= threshold).where(
-        banded_distance(F.col("short"), F.col("long"), threshold) <= threshold)
-    a_later = F.col("a_place") > F.col("b_place")
-    return cut(near.select(F.when(a_later, F.col("a_l1")).otherwise(F.col("b_l1")).alias("l1"),
-                           F.when(a_later, F.col("a_l2")).otherwise(F.col("b_l2")).alias("l2")).distinct(), "near-lines")
+    """``(l1, l2)`` of the lines that have a near line whose first occurrence is earlier.
+
+    Every join is a semi-join, so a key that many lines share gives a row for each line and never their pairs.
+    """
+    index, probe = _keyed(lines, threshold)
+    shared = (F.col("key") == F.col("p_key")) & (F.col("l1") != F.col("p1"))
+    index, probe = (cut(index.join(probe, shared, "left_semi"), "line-index"),
+                    cut(probe.join(index, shared, "left_semi"), "line-probes"))
+    ids = index.select(F.col("l1").alias("i")).union(probe.select("p1")).distinct()
+    texts = lines.join(ids, lines["l1"] == ids["i"], "left_semi").groupBy("l1", "l2").agg(
+        F.min(_place()).alias("place"), F.min("line").alias("line"))
+    texts = cut(texts.withColumn("parity", bigram_parity(F.col("line"))), "line-texts")
+    sides = {}
+    for side, keys, key, own in (("a", index, "key", "l1"), ("b", probe, "p_key", "p1")):
+        t = texts.select(*[F.col(c).alias(f"{side}_{c}") for c in texts.columns])
+        sides[side] = keys.join(t, keys[own] == t[f"{side}_l1"]).drop(own).withColumnRenamed(key, f"{side}_key")
+    a, b = sides["a"], sides["b"]
+    n = F.char_length("b_line") - F.char_length("a_line")
+    near = (F.col("a_key") == F.col("b_key")) & n.between(0, threshold) & (
+        F.bit_count(F.col("a_parity").bitwiseXOR(F.col("b_parity"))) <= 4 * threshold) & (
+        banded_distance(F.col("a_line"), F.col("b_line"), threshold) <= threshold)
+    later_a = a.join(b, (F.col("a_place") > F.col("b_place")) & near, "left_semi").select("a_l1", "a_l2")
+    later_b = b.join(a, (F.col("b_place") > F.col("a_place")) & near, "left_semi").select("b_l1", "b_l2")
+    return cut(later_a.union(later_b).distinct().toDF("l1", "l2"), "near-lines")
 
 
 def dropped_lines(documents: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, doc_id: str = "doc_id",
