@@ -134,16 +134,17 @@ def near_lines(lines: DataFrame, threshold: int) -> DataFrame:
     """
     index, probe = _keyed(lines, threshold)
     shared = (F.col("key") == F.col("p_key")) & (F.col("l1") != F.col("p1"))
-    index, probe = (cut(index.join(probe, shared, "left_semi"), "line-index"),
-                    cut(probe.join(index, shared, "left_semi"), "line-probes"))
-    ids = index.select(F.col("l1").alias("i")).union(probe.select("p1")).distinct()
+    keys = cut(index.join(probe, shared, "left_semi").select("key", "l1", F.lit(True).alias("own")).union(
+        probe.join(index, shared, "left_semi").select("p_key", "p1", F.lit(False))), "line-keys")  # one job: both read the same shuffles
+    ids = keys.select(F.col("l1").alias("i")).distinct()
     texts = lines.join(ids, lines["l1"] == ids["i"], "left_semi").groupBy("l1", "l2").agg(
         F.min(_place()).alias("place"), F.min("line").alias("line"))
     texts = cut(texts.withColumn("parity", bigram_parity(F.col("line"))), "line-texts")
     sides = {}
-    for side, keys, key, own in (("a", index, "key", "l1"), ("b", probe, "p_key", "p1")):
+    for side, own in (("a", F.col("own")), ("b", ~F.col("own"))):
         t = texts.select(*[F.col(c).alias(f"{side}_{c}") for c in texts.columns])
-        sides[side] = keys.join(t, keys[own] == t[f"{side}_l1"]).drop(own).withColumnRenamed(key, f"{side}_key")
+        k = keys.where(own).select(F.col("key").alias(f"{side}_key"), F.col("l1").alias("at"))
+        sides[side] = k.join(t, F.col("at") == F.col(f"{side}_l1")).drop("at")
     a, b = sides["a"], sides["b"]
     n = F.char_length("b_line") - F.char_length("a_line")
     near = (F.col("a_key") == F.col("b_key")) & n.between(0, threshold) & (
@@ -159,7 +160,7 @@ def dropped_lines(documents: DataFrame, threshold: int = THRESHOLD, min_chars: i
     """``(id, h, n_exact, gone)`` of the documents that lose lines; ``gone`` are their line numbers."""
     lines = _lines(documents, doc_id, text, min_chars)
     near = near_lines(lines, threshold)
-    each = lines.select("l1", "l2", "id", "h", "n")
+    each = cut(lines.select("l1", "l2", "id", "h", "n"), "lines")  # read twice below, without the texts
     repeated = cut(each.groupBy("l1", "l2").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("uses")).where("uses > 1").select(
         "l1", "l2", "first"), "repeated-lines")
     rules = cut(repeated.join(near.withColumn("near", F.lit(True)), ["l1", "l2"], "full").select("l1", "l2", "first", "near"), "line-rules")

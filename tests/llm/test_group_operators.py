@@ -170,6 +170,26 @@ def test_banded_distance(spark):
         assert all(r.x == r.d if r.d <= t else r.x > t for r in rows)
 
 
+def test_an_edit_changes_four_bigram_parities_at_most(spark):
+    rng = random.Random(8)
+    pairs = [(a, _mutated(rng, a, 1)) for a in ("".join(rng.choice("abé😀") for _ in range(rng.randint(1, 25))) for _ in range(800))] + [("", "a"), ("a", "")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    flips = F.bit_count(N.bigram_parity(F.col("a")).bitwiseXOR(N.bigram_parity(F.col("b"))))
+    assert df.where(flips > 4).count() == 0 and df.where(flips > 0).count() > 0
+
+
+def test_lines_that_share_segments_are_joined_without_their_pairs(spark):
+    rng = random.Random(9)
+    body = ["".join(rng.choices("abcdefgh", k=30)) for _ in range(120)]
+    d = spark.createDataFrame([(i, "the same long beginning of them all, " * 2 + x) for i, x in enumerate(body)] + [
+        (1000 + i, "the same long beginning of them all, " * 2 + body[0]) for i in range(200)], "doc_id long, text string")
+    lines = N._lines(d, "doc_id", "text", N.MIN_CHARS)
+    index, probe = N._keyed(lines, N.THRESHOLD)
+    assert index.count() == 3 * 120 and probe.count() <= 12 * 120  # copies are keyed once
+    assert N.near_lines(lines, N.THRESHOLD).count() == 0
+    assert N.line_report(d).agg(F.sum("n_exact")).first()[0] == 200
+
+
 def _line_docs():
     rng = random.Random(6)
     base = ["".join(rng.choice("abcde ") for _ in range(rng.randint(22, 34))).strip() + "x" for _ in range(20)]
