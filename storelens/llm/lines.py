@@ -104,10 +104,15 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
         let(F.split(a, ""), lambda p: let(F.split(b, ""), lambda s: run(p, s))))
 
 
-def _lines(documents: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
-    """``(id, h, n, line, len, l1, l2)`` of every line that takes part; l1 and l2 are its identity."""
+def _documents(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``(id, h, raw)``: id, hash of the text and its lines."""
     t = F.col(text)
-    rows = documents.select(F.col(doc_id).alias("id"), F.xxhash64(t).alias("h"), F.posexplode(F.split(t, "\n")).alias("n", "raw"))
+    return documents.select(F.col(doc_id).alias("id"), F.xxhash64(t).alias("h"), F.split(t, "\n").alias("raw"))
+
+
+def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
+    """``(id, h, n, line, len, l1, l2)`` of every line that takes part; l1 and l2 are its identity."""
+    rows = docs.select("id", "h", F.posexplode("raw").alias("n", "raw"))
     rows = rows.select("id", "h", "n", F.trim("raw").alias("line")).where(F.char_length("line") >= min_chars)
     return rows.select("*", F.char_length("line").alias("len"), F.xxhash64("line").alias("l1"), F.xxhash64(F.lit(1), "line").alias("l2"))
 
@@ -121,30 +126,38 @@ def _keyed(lines: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
     keys = segment_keys(F.col("line"), F.col("len"), threshold)
     each = lines.select("l1", "l2", *[k.alias(f"k{j}") for j, (k, _) in enumerate(keys)])
     different = each.groupBy("l1", "l2").agg(*[F.min(f"k{j}").alias(f"k{j}") for j in range(len(keys))])
+    different = cut(different, "line-segments")
     rows = different.select("l1", F.explode(F.array(*[
         F.struct(F.col(f"k{j}").alias("key"), F.lit(own).alias("own")) for j, (_, own) in enumerate(keys)])).alias("k"))
     rows = rows.select("k.key", "k.own", "l1").where("key IS NOT NULL")
     return rows.where("own").select("key", "l1"), rows.select(F.col("key").alias("p_key"), F.col("l1").alias("p1"))
 
 
-def near_lines(lines: DataFrame, threshold: int) -> DataFrame:
+def _texts(docs: DataFrame, firsts: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(l1, l2, place, line)`` of the lines ``ids (i)``, read from the document of the first occurrence."""
+    wanted = firsts.join(ids, F.col("l1") == F.col("i"), "left_semi").groupBy(F.col("first.id").alias("at"), F.col("first.h").alias("at_h")).agg(
+        F.collect_list(F.struct("first", "l1", "l2")).alias("wanted"))  # lines of one document
+    rows = docs.join(wanted, F.col("id").eqNullSafe(F.col("at")) & (F.col("h") == F.col("at_h")))
+    each = let(F.col("raw"), lambda raw: F.transform("wanted", lambda x: F.struct(
+        x["l1"].alias("l1"), x["l2"].alias("l2"), x["first"].alias("place"), F.trim(F.get(raw, x["first"]["n"])).alias("line"))))
+    return rows.select(F.inline(each)).dropDuplicates(["l1", "l2"])  # a repeated document gives its lines again
+
+
+def near_lines(docs: DataFrame, lines: DataFrame, firsts: DataFrame, threshold: int) -> DataFrame:
     """``(l1, l2)`` of the lines that have a near line whose first occurrence is earlier.
 
     Every join is a semi-join, so a key that many lines share gives a row for each line and never their pairs.
     """
     index, probe = _keyed(lines, threshold)
     shared = (F.col("key") == F.col("p_key")) & (F.col("l1") != F.col("p1"))
-    keys = cut(index.join(probe, shared, "left_semi").select("key", "l1", F.lit(True).alias("own")).union(
-        probe.join(index, shared, "left_semi").select("p_key", "p1", F.lit(False))), "line-keys")  # one job: both read the same shuffles
-    ids = keys.select(F.col("l1").alias("i")).distinct()
-    texts = lines.join(ids, lines["l1"] == ids["i"], "left_semi").groupBy("l1", "l2").agg(
-        F.min(_place()).alias("place"), F.min("line").alias("line"))
-    texts = cut(texts.withColumn("parity", bigram_parity(F.col("line"))), "line-texts")
+    index, probe = (cut(index.join(probe, shared, "left_semi"), "line-index"),
+                    cut(probe.join(index, shared, "left_semi"), "line-probes"))  # two jobs: the shuffles of one are gone in the next
+    ids = index.select(F.col("l1").alias("i")).union(probe.select("p1")).distinct()
+    texts = cut(_texts(docs, firsts, ids).withColumn("parity", bigram_parity(F.col("line"))), "line-texts")
     sides = {}
-    for side, own in (("a", F.col("own")), ("b", ~F.col("own"))):
+    for side, keys, key, own in (("a", index, "key", "l1"), ("b", probe, "p_key", "p1")):
         t = texts.select(*[F.col(c).alias(f"{side}_{c}") for c in texts.columns])
-        k = keys.where(own).select(F.col("key").alias(f"{side}_key"), F.col("l1").alias("at"))
-        sides[side] = k.join(t, F.col("at") == F.col(f"{side}_l1")).drop("at")
+        sides[side] = keys.join(t, F.col(own) == F.col(f"{side}_l1")).drop(own).withColumnRenamed(key, f"{side}_key")
     a, b = sides["a"], sides["b"]
     n = F.char_length("b_line") - F.char_length("a_line")
     near = (F.col("a_key") == F.col("b_key")) & n.between(0, threshold) & (
@@ -158,11 +171,12 @@ def near_lines(lines: DataFrame, threshold: int) -> DataFrame:
 def dropped_lines(documents: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, doc_id: str = "doc_id",
                   text: str = "text") -> DataFrame:
     """``(id, h, n_exact, gone)`` of the documents that lose lines; ``gone`` are their line numbers."""
-    lines = _lines(documents, doc_id, text, min_chars)
-    near = near_lines(lines, threshold)
+    docs = _documents(documents, doc_id, text)
+    lines = _lines(docs, min_chars)
     each = cut(lines.select("l1", "l2", "id", "h", "n"), "lines")  # read twice below, without the texts
-    repeated = cut(each.groupBy("l1", "l2").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("uses")).where("uses > 1").select(
-        "l1", "l2", "first"), "repeated-lines")
+    firsts = cut(each.groupBy("l1", "l2").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("uses")), "line-firsts")
+    near = near_lines(docs, lines, firsts, threshold)
+    repeated = firsts.where("uses > 1").select("l1", "l2", "first")
     rules = cut(repeated.join(near.withColumn("near", F.lit(True)), ["l1", "l2"], "full").select("l1", "l2", "first", "near"), "line-rules")
     hit = each.join(rules, ["l1", "l2"]).withColumn("near", F.coalesce("near", F.lit(False))).where(F.col("near") | (F.col("first") != _place()))
     return cut(hit.groupBy("id", "h").agg(F.count_if(~F.col("near")).alias("n_exact"), F.collect_set("n").alias("gone")), "dropped-lines")
