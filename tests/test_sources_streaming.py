@@ -54,3 +54,15 @@ def test_split_and_prediction_writers(spark, tmp_path):
     pred = save_predictions(lexicon_scores(split), str(tmp_path / "pred"))
     row = pred.where(F.col("prediction") == F.col("label")).first()
     assert row.correct is True and row.predicted_sentiment in ("Negative", "Neutral", "Positive")
+
+
+def test_staging_truncates_or_appends(spark, tmp_path):
+    from storelens.sources.raw import with_load_id, write_staging
+
+    path = str(tmp_path / "staging")
+    write_staging(with_load_id(spark.range(10).repartition(3).toDF("app")), path)
+    write_staging(with_load_id(spark.range(4).toDF("app")), path, truncate=False)
+    assert spark.read.parquet(path).count() == 14
+    write_staging(with_load_id(spark.range(5).repartition(3).toDF("app")), path)
+    back = spark.read.parquet(path)
+    assert back.count() == 5 and back.select("raw_app_id").distinct().count() == 5
