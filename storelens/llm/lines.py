@@ -122,7 +122,7 @@ def _place() -> Column:
 
 
 def _keyed(lines: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """``(key, l1)`` of the index and ``(p_key, p1)`` of the probes, a row for each different line."""
+    """``(key, l1)`` of the index and ``(p_key, p1, own)`` of the probes, a row for each different line."""
     keys = segment_keys(F.col("line"), F.col("len"), threshold)
     each = lines.select("l1", "l2", *[k.alias(f"k{j}") for j, (k, _) in enumerate(keys)])
     different = each.groupBy("l1", "l2").agg(*[F.min(f"k{j}").alias(f"k{j}") for j in range(len(keys))])
@@ -130,7 +130,7 @@ def _keyed(lines: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
     rows = different.select("l1", F.explode(F.array(*[
         F.struct(F.col(f"k{j}").alias("key"), F.lit(own).alias("own")) for j, (_, own) in enumerate(keys)])).alias("k"))
     rows = rows.select("k.key", "k.own", "l1").where("key IS NOT NULL")
-    return rows.where("own").select("key", "l1"), rows.select(F.col("key").alias("p_key"), F.col("l1").alias("p1"))
+    return rows.where("own").select("key", "l1"), rows.select(F.col("key").alias("p_key"), F.col("l1").alias("p1"), "own")
 
 
 def _texts(docs: DataFrame, firsts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -149,9 +149,11 @@ def near_lines(docs: DataFrame, lines: DataFrame, firsts: DataFrame, threshold:
     Every join is a semi-join, so a key that many lines share gives a row for each line and never their pairs.
     """
     index, probe = _keyed(lines, threshold)
-    shared = (F.col("key") == F.col("p_key")) & (F.col("l1") != F.col("p1"))
-    index, probe = (cut(index.join(probe, shared, "left_semi"), "line-index"),
-                    cut(probe.join(index, shared, "left_semi"), "line-probes"))  # two jobs: the shuffles of one are gone in the next
+    # keys that a line has as a segment and another line probes, from an aggregate that copes with hot keys
+    shared = probe.groupBy("p_key").agg(F.min("p1").alias("low"), F.max("p1").alias("high"), F.bool_or("own").alias("owned"))
+    shared = cut(shared.where("owned AND low != high").select(F.col("p_key").alias("s_key")), "shared-keys")
+    index = cut(index.join(shared, F.col("key") == F.col("s_key"), "left_semi"), "line-index")
+    probe = cut(probe.drop("own").join(shared, F.col("p_key") == F.col("s_key"), "left_semi"), "line-probes")
     ids = index.select(F.col("l1").alias("i")).union(probe.select("p1")).distinct()
     texts = cut(_texts(docs, firsts, ids).withColumn("parity", bigram_parity(F.col("line"))), "line-texts")
     sides = {}
