@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from storelens.llm.common import cut, table
 from storelens.llm.decontamination import drop_contaminated
 from storelens.llm.language import keep_identified
-from storelens.llm.lines import drop_lines
+from storelens.llm.lines import EXACT_CHARS, drop_lines
 from storelens.llm.mixing import mix_report
 from storelens.llm.simhash import MAX_BITS, SHINGLE_WORDS, keep_one_per_group
 
@@ -24,7 +24,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_lines(docs).withColumn("n_chars", F.char_length("text").cast("bigint"))
+    return drop_lines(docs, exact_chars=EXACT_CHARS).withColumn("n_chars", F.char_length("text").cast("bigint"))
 
 
 def dedupe_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 A line (trimmed) is dropped where the same line, or one at ``threshold`` or fewer edits, occurs earlier
 in the corpus; earlier is by (doc_id, nulls last, text hash, line number). All occurrences of a line
-go if a near line's first occurrence is before its own first. Lines below ``min_chars`` code points stay.
+go if a near line's first occurrence is before its own first. Lines below ``min_chars`` code points have no
+near lines; as exact copies they go from ``exact_chars`` code points on. The registered query and the pipeline
+pass ``EXACT_CHARS``, so every line that isn't blank takes part there.
 
 Edit join: a line of length l is split into threshold + 1 segments, and every line within the threshold holds
 one of them unchanged, close to its place. Segments are indexed by (l, number, content); a line
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import cut, let, private
 
 THRESHOLD, MIN_CHARS = 2, 20
+#: Exact copies need no distance, so the shortest line that isn't blank can be one.
+EXACT_CHARS = 1
 
 
 def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
@@ -171,13 +175,13 @@ def near_lines(docs: DataFrame, lines: DataFrame, firsts: DataFrame, threshold:
 
 
 def dropped_lines(documents: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, doc_id: str = "doc_id",
-                  text: str = "text") -> DataFrame:
+                  text: str = "text", exact_chars: int = MIN_CHARS) -> DataFrame:
     """``(id, h, n_exact, gone)`` of the documents that lose lines; ``gone`` are their line numbers."""
     docs = _documents(documents, doc_id, text)
-    lines = _lines(docs, min_chars)
+    lines = _lines(docs, min(exact_chars, min_chars))
     each = cut(lines.select("l1", "l2", "id", "h", "n"), "lines")  # read twice below, without the texts
     firsts = cut(each.groupBy("l1", "l2").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("uses")), "line-firsts")
-    near = near_lines(docs, lines, firsts, threshold)
+    near = near_lines(docs, lines.where(F.col("len") >= min_chars), firsts, threshold)
     repeated = firsts.where("uses > 1").select("l1", "l2", "first")
     rules = cut(repeated.join(near.withColumn("near", F.lit(True)), ["l1", "l2"], "full").select("l1", "l2", "first", "near"), "line-rules")
     hit = each.join(rules, ["l1", "l2"]).withColumn("near", F.coalesce("near", F.lit(False))).where(F.col("near") | (F.col("first") != _place()))
@@ -185,10 +189,10 @@ def dropped_lines(documents: DataFrame, threshold: int = THRESHOLD, min_chars: i
 
 
 def without_lines(documents: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, doc_id: str = "doc_id",
-                  text: str = "text") -> tuple[DataFrame, str, str]:
+                  text: str = "text", exact_chars: int = MIN_CHARS) -> tuple[DataFrame, str, str]:
     """``documents`` with the lines dropped from ``text``, and the names of two columns more: the exact
     copies among the dropped lines, and all of them (null where none are)."""
-    gone = dropped_lines(documents, threshold, min_chars, doc_id, text)
+    gone = dropped_lines(documents, threshold, min_chars, doc_id, text, exact_chars)
     exact, all_, g_id, g_h, at = private(documents, "n_exact", "n_gone", "g_id", "g_h", "g_at")
     g = gone.select(F.col("id").alias(g_id), F.col("h").alias(g_h), F.col("n_exact").alias(exact), F.col("gone").alias(at))
     on = documents[doc_id].eqNullSafe(g[g_id]) & (F.xxhash64(documents[text]) == g[g_h])
@@ -198,17 +202,17 @@ def without_lines(documents: DataFrame, threshold: int = THRESHOLD, min_chars: i
     return documents.join(g, on, "left").select(*columns, exact, F.size(at).cast("bigint").alias(all_)), exact, all_
 
 
-def line_report(documents: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_report(documents: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, exact_chars: int = MIN_CHARS) -> DataFrame:
     """``(doc_id, n_exact, n_near, text)``: lines dropped as copies and as near copies, and the text without them."""
     docs = documents.select("doc_id", "text")
-    out, exact, all_ = without_lines(docs, threshold, min_chars)
+    out, exact, all_ = without_lines(docs, threshold, min_chars, exact_chars=exact_chars)
     zero = F.lit(0).cast("bigint")
     return out.select("doc_id", F.coalesce(exact, zero).alias("n_exact"),
                       F.coalesce(F.when(F.col(all_).isNotNull(), F.col(all_) - F.col(exact)), zero).alias("n_near"), "text")
 
 
 def drop_lines(documents: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, doc_id: str = "doc_id",
-               text: str = "text") -> DataFrame:
+               text: str = "text", exact_chars: int = MIN_CHARS) -> DataFrame:
     """``documents`` with the lines dropped; a document that loses all its text goes."""
-    out, _, all_ = without_lines(documents, threshold, min_chars, doc_id, text)
+    out, _, all_ = without_lines(documents, threshold, min_chars, doc_id, text, exact_chars)
     return out.where(F.col(all_).isNull() | (F.trim(text) != "")).select(*documents.columns)

@@ -11,7 +11,7 @@ from .decontamination import decontamination_report
 from .embeddings import near_vectors
 from .extraction import extract_pages
 from .language import language_report
-from .lines import line_report
+from .lines import EXACT_CHARS, line_report
 from .mixing import mix_report
 from .pii import pii_report
 from .simhash import fingerprint_hex, simhash_groups
@@ -32,7 +32,7 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_report(table(spark, sf_dir, "documents"))
+    return line_report(table(spark, sf_dir, "documents"), exact_chars=EXACT_CHARS)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

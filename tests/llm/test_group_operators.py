@@ -8,11 +8,13 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from storelens.llm import embeddings as E
 from storelens.llm import lines as N
 from storelens.llm import mixing as M
 from storelens.llm import simhash as S
 from storelens.llm.components import connected_components
+from storelens.llm.queries import op4_line_dedup
 
 
 class Union:
@@ -220,6 +222,16 @@ def test_line_dedup_equals_brute_force(spark):
     assert N.line_report(d.limit(0)).count() == 0
 
 
+def test_exact_copies_of_short_lines_go_in_the_query_and_the_pipeline(spark, tmp_path):
+    rows = [(1, "Les.\nfirst long line of the first document\n\nAh"), (2, " Les. \nLez.\n\nAh\nLes."), (3, "Les."), (None, "Lez.\nnew"), (4, None)]
+    d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_exact, r.n_near, r.text) for r in op4_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (0, 0, rows[0][1]), 2: (3, 0, "Lez.\n"), 3: (1, 0, ""), None: (1, 0, "new"), 4: (0, 0, None)}
+    kept = {r.doc_id: r.text for r in corpus_pipeline.dedupe_lines(spark, d, str(tmp_path)).collect()}
+    assert kept == {1: rows[0][1], 2: "Lez.\n", None: "new", 4: None}
+
+
 def _targets(sizes):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: 1 + k % 3 for k, s in enumerate(names)}
