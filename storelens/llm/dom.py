@@ -101,6 +101,10 @@ class _Reader(HTMLParser):
             if node is not None and tag not in BLOCK:
                 return  # an inline end doesn't close a block
 
+    def parse_comment(self, i, report=1):
+        end = super().parse_comment(i, report)
+        return len(self.rawdata) if end < 0 else end  # one that never ends; the parser only asks where markup may stand
+
     def handle_data(self, data):
         if self.silent:
             if self.stack[-1][0] == "title":
@@ -121,8 +125,6 @@ class _Reader(HTMLParser):
 def parse(html: str, mute_inline=lambda tag, attrs: False) -> _Reader:
     """The page's tree as ``root``, its ``title``, ``links`` and ``lang``."""
     reader = _Reader(mute_inline)
-    if html.rfind("<!--") > html.rfind("-->"):
-        html = html[:html.index("<!--", html.rfind("-->") + 1)]  # a comment that never ends
     reader.feed(_CUT_TAG.sub("", html))
     reader.close()
     return reader

@@ -26,6 +26,16 @@ def test_main_text(html, text):
     assert X.main_text(html) == text
 
 
+@pytest.mark.parametrize("before", ['<script>var s="<!-- ad";</script>', "<style>/* <!-- */</style>", '<div title="<!-- x">d</div>'])
+def test_a_comment_start_outside_markup_cuts_nothing(before):
+    page = f"{before}<article><p>one <a href='/n'>two</a></p><p>three</p></article>"
+    assert X.main_text(page) == "one two\n\nthree"
+    meta, text = W.derivatives("<urn:uuid:9>", "u", "d", "", page.encode())
+    assert bytes(text[8]).endswith(b"one two\n\nthree") and b"outlink: /n" in meta[8]
+    assert X.main_text("<article><p>a</p><!-- open <p>b</p><p>c</p></article>") == "a"
+    assert X.main_text("<article><p>a</p><!-- shut --><p>b</p><!-- open <p>c</p>") == "a\n\nb"
+
+
 def test_wrapper_drops_what_all_pages_share():
     words = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
     pages = [f"<div><div>Welcome to the site</div><div><h1>{w}</h1><p>{w} tells a long story of {w} and others</p><p>Read more below</p></div></div>" for w in words]
