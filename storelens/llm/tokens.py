@@ -19,6 +19,8 @@ gives no rows. Other columns are not looked at and may have any name.
 from __future__ import annotations
 
 import json
+from array import array
+from collections.abc import Sequence
 from functools import cache, lru_cache
 
 import numpy as np
@@ -31,6 +33,8 @@ from tokenizers import Tokenizer
 LIMIT = 1024
 #: Distinct pieces whose counts a worker keeps; beyond it the table is emptied and filled anew.
 KEPT_PIECES = 1_000_000
+#: Longer pieces are counted in arrays and not kept, so memory is in proportion to the piece.
+KEPT_BYTES = 64
 #: The tokenizer's split (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -54,6 +58,11 @@ class PrefixCounter:
         text = {t: bytes(letter[c] for c in t) for t in spec["model"]["vocab"] if t not in special}
         self.vocab = set(text.values())
         self.longest = max(map(len, self.vocab))
+        sizes: dict[bytes, set[int]] = {}
+        for t in self.vocab:
+            if len(t) > 1:
+                sizes.setdefault(t[-2:], {1}).add(len(t))
+        self.sizes = {end: tuple(sorted(n, reverse=True)) for end, n in sizes.items()}  # of the tokens with these last two bytes
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         self.rank = {(text[a], text[b]): k for k, (a, b) in enumerate(pairs)}
         self.findall, self.beyond = regex.compile(PATTERN).findall, regex.compile(r"[^\x00-\u052f]").search
@@ -81,12 +90,30 @@ class PrefixCounter:
             return self.findall(text)
         return [text[a:b] for _, (a, b) in self.pieces(text)]
 
+    def program(self, data: bytes) -> tuple[array, array]:
+        """Tokens of the prefixes of 0, 1, ..., len(data) bytes of a piece, and the length of the last token of each."""
+        counts, last = array("q", [0]), array("q", [0])
+        for i in range(1, len(data) + 1):
+            for size in self.sizes.get(data[max(0, i - 2):i], (1,)):
+                start = i - size
+                if start < 0:
+                    continue
+                t = data[start:i]
+                if t in self.vocab and self.apart(data[start - last[start]:start], t):
+                    counts.append(counts[start] + 1)
+                    last.append(size)
+                    break
+        return counts, last
+
     def state(self, data: bytes) -> tuple[int, bytes]:
         """Tokens of the prefix ``data`` of a piece, and the last of them."""
         known = self.states
         found = known.get(data)
         if found is not None:
             return found
+        if len(data) > KEPT_BYTES:
+            counts, last = self.program(data)
+            return counts[-1], data[len(data) - last[-1]:]
         if len(known) >= KEPT_PIECES:
             known.clear()
             known[b""] = (0, b"")
@@ -103,16 +130,20 @@ class PrefixCounter:
                         break
         return found
 
-    def piece_counts(self, piece: bytes) -> list[int]:
+    def piece_counts(self, piece: bytes) -> Sequence[int]:
         """Token counts of the prefixes of 0, 1, ..., len(piece) bytes."""
+        if len(piece) > KEPT_BYTES:
+            return self.program(piece)[0]
         return [self.state(piece[:i])[0] for i in range(len(piece) + 1)]
 
     def piece_total(self, piece: str) -> int:
         found = self.total.get(piece)
         if found is None:
-            if len(self.total) >= KEPT_PIECES:
-                self.total.clear()
-            found = self.total[piece] = self.state(piece.encode("utf-8"))[0]
+            found = self.state(piece.encode("utf-8"))[0]
+            if len(piece) <= KEPT_BYTES:
+                if len(self.total) >= KEPT_PIECES:
+                    self.total.clear()
+                self.total[piece] = found
         return found
 
     def spans(self, text: str) -> list[tuple[str, bool]]:
@@ -152,16 +183,22 @@ class PrefixCounter:
         out = np.zeros(len(text) + 1, np.int64)
         ends, counts = self.boundaries(text)
         for k in range(1, len(ends)):
-            a, b = ends[k - 1], ends[k]
-            inside = self.piece_counts(text[a:b].encode("utf-8"))
-            offset = np.cumsum([len(c.encode("utf-8")) for c in text[a:b]])
-            out[a + 1:b + 1] = [counts[k - 1] + inside[o] for o in offset]
-            special = self.special is not None and self.special.fullmatch(text[a:b])
-            if special or not self._splits_alike(text[a:b]) or k > 1 and text[ends[k - 2]:a].isspace():
-                first = ends[k - 2] if k > 1 and text[ends[k - 2]:a].isspace() else a
-                base = counts[k - 2] if first != a else counts[k - 1]
-                for i in range(a + 1, b + 1):  # the end of this prefix is split anew
-                    out[i] = base + self.count(text[first:i])
+            out[ends[k - 1] + 1:ends[k] + 1] = self._inside(text, ends, counts, k)
+        return out
+
+    def _inside(self, text: str, ends: list[int], counts: list[int], k: int) -> np.ndarray:
+        """Token counts of the prefixes that end in piece ``k`` (from 1), each as if encoded alone."""
+        a, b = ends[k - 1], ends[k]
+        offset = np.cumsum([len(c.encode("utf-8")) for c in text[a:b]])
+        out = counts[k - 1] + np.asarray(self.piece_counts(text[a:b].encode("utf-8")))[offset]
+        special = self.special is not None and self.special.fullmatch(text[a:b])
+        after_space = k > 1 and text[ends[k - 2]:a].isspace()
+        if special or after_space or not self._splits_alike(text[a:b]):
+            back = k > 1 and (after_space or bool(special))
+            first, base = (ends[k - 2], counts[k - 2]) if back else (a, counts[k - 1])
+            # the end of this prefix is split anew; only the first characters of a piece can split differently
+            for i in range(a + 1, (b if special else min(b, a + 4)) + 1):
+                out[i - a - 1] = base + self.count(text[first:i])
         return out
 
     @staticmethod
@@ -176,11 +213,11 @@ class PrefixCounter:
             return len(text)
         # a prefix over the budget by more than a piece can give back never fits: look back from the last that fits
         k = max(i for i, c in enumerate(counts) if c <= budget)
-        stop = ends[min(k + 1, len(ends) - 1)]
-        start = ends[max(0, k - 1)]
-        base = counts[max(0, k - 1)]
-        fits = [i for i in range(start, stop + 1) if base + self.count(text[start:i]) <= budget]
-        return max(fits, default=ends[k])
+        for j in (k + 1, k):
+            fits = np.flatnonzero(self._inside(text, ends, counts, j) <= budget) if 0 < j < len(ends) else ()
+            if len(fits):
+                return ends[j - 1] + int(fits[-1]) + 1
+        return ends[k]
 
 
 @cache

@@ -157,6 +157,26 @@ def test_every_prefix_has_the_library_s_count():
             assert c.longest_prefix(s, budget) == max(i for i, n in enumerate(want) if n <= budget), (s, budget)
 
 
+def test_long_pieces_take_memory_in_proportion():
+    c, lib = _tokenizer()
+    size = lambda s: len(lib.encode(s, add_special_tokens=False).ids)
+    for unit, n in (("x", 300_000), ("=", 100_000), (" ", 100_000), ("ab\u00e9", 40_000)):
+        text = "so " + unit * n + "y!"
+        total, kept = c.count(text), c.longest_prefix(text, 900)
+        assert total == size(text) and size(text[:kept]) <= 900 < size(text[:kept + 1]), unit
+        assert max(map(len, c.states)) <= T.KEPT_BYTES and max(map(len, c.total)) <= T.KEPT_BYTES, unit
+
+
+def test_pieces_beyond_the_kept_length_have_the_library_s_counts():
+    c, lib = _tokenizer()
+    rng = np.random.default_rng(7)
+    for letters in ("abcdefgh", "\u00e9\u00dfae", "!=-<", " \t", "019"):
+        s = "a " + "".join(rng.choice(list(letters), 150)) + " b<|endoftext|>'s"
+        want = [len(lib.encode(s[:i], add_special_tokens=False).ids) for i in range(len(s) + 1)]
+        assert c.prefix_counts(s).tolist() == want
+        assert all(c.longest_prefix(s, k) == max(i for i, n in enumerate(want) if n <= k) for k in (2, 20, 40, 60))
+
+
 def test_token_report_equals_the_library(spark):
     _, lib = _tokenizer()
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").union(
