@@ -6,9 +6,12 @@ texts that are the same in all of them make the host's template, the other texts
 slots. Each page of the host is then aligned with this wrapper; its template texts go, and what remains of
 the content region is the article. Sibling blocks of one kind in a row count as one repeated node.
 
-The content region is the page's largest article element (or main, or the smallest block with most of the
-varying text); elements that say what they are (nav, aside, form, class "comments", role
-"banner", ...) are left out, and so are articles inside the article, which are reader comments. Where
+The content region is the smallest container with most (``REGION_SHARE``) of the page's varying text, with the
+headings before it; it doesn't narrow past paragraphs beside it or to one of several sections. Tags are
+hints: an article is never narrowed, and where the articles of the region hold half of its text or more, all
+top-level ones of them are the article; otherwise the small ones are teasers and go. Elements that say what they are
+(nav, aside, form, class "comments", role "banner", ...) are left out, and so are articles inside an article, which are
+reader comments. Where
 nothing marks the region, blocks that are mostly links go too. A template needs ``SUPPORT`` references and
 texts that vary for the larger part, so copies of one page don't become their own template.
 
@@ -36,7 +39,11 @@ from .dom import WORDS, Node, parse, walk
 REFERENCES, SUPPORT, VARYING = 8, 5, 0.5
 #: Nodes deeper than this are not aligned.
 DEPTH = 60
-LINK_SHARE, REGION_SHARE = 0.5, 0.7
+#: Paragraphs beside a block with this share of the page's varying text keep the region from narrowing to the block.
+LINK_SHARE, REGION_SHARE, BESIDE = 0.5, 0.7, 0.05
+CONTAINERS = frozenset("article body center div main section".split())
+PROSE = frozenset("p blockquote ul ol dl pre table".split())
+HEADINGS = frozenset("h1 h2 h3 hgroup".split())
 
 SIDE_TAGS = frozenset("nav footer aside form menu dialog search".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
@@ -45,7 +52,6 @@ advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice
 social share sharing related recommended recommendations comment comments commentlist disqus replies reply respond responses
 popup modal overlay pagination pager widget widgets toolbar skip""".split())
 HEAD_WORDS = frozenset("header masthead topbar banner".split())
-MAIN_WORDS = frozenset("article content post story main entry".split())
 
 
 def _words(attrs: dict[str, str]) -> set[str]:
@@ -159,23 +165,55 @@ def _wrapper(text: str):
     return json.loads(text)
 
 
-def _region(root: Node, marked: set[int]) -> tuple[Node, bool]:
-    """The block that holds the article, and whether the page marks it."""
-    articles, mains, todo = [], [], [root]
+def _weigh(root: Node) -> tuple[dict[int, int], list[Node]]:
+    """Characters of varying text in each node that may belong to the article, and the top-level articles."""
+    order, articles, todo = [], [], [(root, False)]
     while todo:
-        node = todo.pop()
-        if _side(node.tag, node.attrs):
+        node, inside = todo.pop()
+        if node is not root and (_side(node.tag, node.attrs) or (node.tag == "article" if inside else _page_head(node))):
             continue
+        order.append(node)
         if node.tag == "article":
             articles.append(node)
-            continue
-        if node.tag == "main" or node.attrs.get("role") == "main":
-            mains.append(node)
-        todo += [p for p in reversed(node.parts) if isinstance(p, Node)]
-    for found in (articles, mains):
-        if found:
-            return max(found, key=lambda n: sum(len(t) for _, t in walk(n, lambda m: _side(m.tag, m.attrs)))), True
-    return root, False
+        todo += [(p, inside or node.tag == "article") for p in reversed(node.parts) if isinstance(p, Node)]
+    weight: dict[int, int] = {}
+    for node in reversed(order):
+        texts = node.texts()
+        own = sum(len(t) for t in texts if t not in node.template) if node.links <= LINK_SHARE * sum(map(len, texts)) else 0
+        weight[id(node)] = own + sum(weight.get(id(p), 0) for p in node.parts if isinstance(p, Node))
+    return weight, articles
+
+
+def _region(root: Node, weight: dict[int, int], articles: list[Node]) -> tuple[list[Node], set[int], bool]:
+    """The blocks that hold the article, articles in them that don't belong to it, and whether the page marks the blocks."""
+    total, region, titles = weight[id(root)], root, []
+    if not total:  # nothing varies or all is links
+        return (articles, set(), True) if articles else ([root], set(), False)
+    while region.tag != "article":
+        children = [p for p in region.parts if isinstance(p, Node) and weight.get(id(p))]
+        best = max((c for c in children if c.tag in CONTAINERS), key=lambda c: weight[id(c)], default=None)
+        if best is None or weight[id(best)] < REGION_SHARE * total:
+            break
+        if best.tag in ("article", "section") and sum(c.tag == best.tag for c in children) > 1:
+            break  # parts of one article, or several of them
+        if best.tag != "article" and sum(weight[id(c)] for c in children if c.tag in PROSE) >= BESIDE * total:
+            break  # paragraphs beside it belong to the same body
+        if best.tag != "article":
+            titles += [c for c in children[:children.index(best)] if c.tag in HEADINGS]
+        region = best
+    if region.tag == "article":
+        return [region], set(), True
+    marked = region.tag == "main" or region.attrs.get("role") == "main"
+    below, todo = set(), [region]
+    while todo:
+        node = todo.pop()
+        below.add(id(node))
+        todo += [p for p in node.parts if isinstance(p, Node)]
+    held = [a for a in articles if id(a) in below]
+    if held and 2 * sum(weight[id(a)] for a in held) >= weight[id(region)]:
+        return [a for a in held if weight[id(a)]], set(), True
+    teasers = {id(a) for a in held if weight[id(a)] < (1 - REGION_SHARE) * weight[id(region)]}
+    return [*titles, region], teasers, marked
 
 
 def main_text(html: str | None, wrapper: str | None = None) -> str:
@@ -186,14 +224,9 @@ def main_text(html: str | None, wrapper: str | None = None) -> str:
         for known, group in tree_match(_wrapper(wrapper), grouped(root))[1]:
             for node in group[1] if known[1] else ():
                 node.template = known[1]
-    region, marked = _region(root, set())
-
-    def skip(node: Node) -> bool:
-        if node is region:
-            return False
-        return _side(node.tag, node.attrs) or node.tag == "article" and region.tag == "article" or region.tag != "article" and _page_head(node)
-
-    blocks = [(n, t) for n, t in walk(region, skip) if t not in n.template]
+    weight, articles = _weigh(root)
+    regions, teasers, marked = _region(root, weight, articles)
+    blocks = [(n, t) for region in regions for n, t in walk(region, lambda m: id(m) not in weight or id(m) in teasers) if t not in n.template]
     if not marked:
         blocks = [(n, t) for n, t in blocks if n.links <= LINK_SHARE * sum(map(len, n.texts()))]
     return "\n\n".join(t for _, t in blocks)

@@ -26,6 +26,26 @@ def test_main_text(html, text):
     assert X.main_text(html) == text
 
 
+LONG = [f"Paragraph {k} of the story goes on with many more words than any title or date has." for k in range(6)]
+STORY = "".join(f"<p>{x}</p>" for x in LONG)
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    # no tag marks the article; dates, related titles and comments stand in neutral blocks
+    (f"<body><div class=x1>May 5, by Ann</div><div class='post-body'>{STORY}</div><div class=x2>Another story you may like</div><div class=x3>Nice one, Bob</div>", LONG),
+    (f"<div id=page><div class=x><h1>The title</h1><div class=x1>May 5</div><div class=y>{STORY}</div><div class=x2>Some other title</div></div></div>", ["The title", *LONG]),
+    (f"<div class=x><p>{LONG[0]}</p><div class=y>{STORY}</div></div>", [LONG[0], *LONG]),
+    (f"<div><section>{STORY}</section><section><p>{LONG[0]}</p></section></div>", [*LONG, LONG[0]]),
+    # several articles, one longer than the others
+    (f"<main><article>{STORY}</article><article><p>{LONG[1]}</p></article><div>Older posts</div></main>", [*LONG, LONG[1]]),
+    # teasers beside the text of main
+    (f"<main><h1>T</h1>{STORY}<article><p>A teaser</p></article><article><p>One more</p></article></main>", ["T", *LONG]),
+    (f"<main><div class=y>{STORY}</div><article><p>A teaser</p></article></main>", LONG),
+])
+def test_region_is_where_the_text_varies(html, text):
+    assert X.main_text(html) == "\n\n".join(text)
+
+
 @pytest.mark.parametrize("before", ['<script>var s="<!-- ad";</script>', "<style>/* <!-- */</style>", '<div title="<!-- x">d</div>'])
 def test_a_comment_start_outside_markup_cuts_nothing(before):
     page = f"{before}<article><p>one <a href='/n'>two</a></p><p>three</p></article>"
