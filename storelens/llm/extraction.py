@@ -15,8 +15,9 @@ reader comments. Where
 nothing marks the region, blocks that are mostly links go too. A template needs ``SUPPORT`` references and
 texts that vary for the larger part, so copies of one page don't become their own template.
 
-The wrapper is fitted on a bounded sample (``REFERENCES`` pages of a host, the least hash of each of so
-many hash classes); every page is extracted.
+The references only align. What is constant is also counted over all pages of a host: texts that a share of its
+different pages has at the same place (the labels from the root down) join the template, in hosts of two pages or
+more; in hosts with fewer than ``SUPPORT`` pages all of them must have it, and texts inside articles stay.
 
 Defined results: a null or empty html has an empty text; a null url, or one without a host, has
 no wrapper; repeated rows get equal results; an empty table gives no rows; pages cut off anywhere are read as
@@ -26,7 +27,9 @@ far as they go. Other columns are not looked at and may have any name.
 from __future__ import annotations
 
 import json
+from collections.abc import Collection
 from functools import lru_cache
+from hashlib import blake2b
 
 import pandas as pd
 import pyarrow as pa
@@ -37,6 +40,8 @@ from .common import cut
 from .dom import WORDS, Node, parse, walk
 
 REFERENCES, SUPPORT, VARYING = 8, 5, 0.5
+#: A text that this share of a host's pages has at one place belongs to the template, so that of a second layout too.
+TEMPLATE_SHARE = 0.2
 #: Nodes deeper than this are not aligned.
 DEPTH = 60
 #: Paragraphs beside a block with this share of the page's varying text keep the region from narrowing to the block.
@@ -216,7 +221,19 @@ def _region(root: Node, weight: dict[int, int], articles: list[Node]) -> tuple[l
     return [*titles, region], teasers, marked
 
 
-def main_text(html: str | None, wrapper: str | None = None) -> str:
+def placed_texts(root: Node):
+    """(node, text, key, whether inside an article) of each own text; the key stands for the labels down to the node and the text."""
+    todo = [(root, b"", False)]
+    while todo:
+        node, above, inside = todo.pop()
+        path, inside = blake2b(above + node.label.encode("utf-8", "replace"), digest_size=8).digest(), inside or node.tag == "article"
+        for t in node.texts():
+            yield node, t, int.from_bytes(blake2b(path + t.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True), inside
+        todo += [(p, path, inside) for p in node.parts if isinstance(p, Node)]
+
+
+def main_text(html: str | None, wrapper: str | None = None, shared: Collection[int] = ()) -> str:
+    """``shared`` are keys of texts that a share of the host's pages has at the same place."""
     if not html:
         return ""
     root = read(html)
@@ -224,6 +241,10 @@ def main_text(html: str | None, wrapper: str | None = None) -> str:
         for known, group in tree_match(_wrapper(wrapper), grouped(root))[1]:
             for node in group[1] if known[1] else ():
                 node.template = known[1]
+    if shared:
+        for node, t, key, _ in placed_texts(root):
+            if key in shared:
+                node.template = {*node.template, t}
     weight, articles = _weigh(root)
     regions, teasers, marked = _region(root, weight, articles)
     blocks = [(n, t) for region in regions for n, t in walk(region, lambda m: id(m) not in weight or id(m) in teasers) if t not in n.template]
@@ -245,22 +266,58 @@ def host_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
     return refs.groupBy("host").applyInPandas(_induce_host, "host string, wrapper string").where("wrapper IS NOT NULL")
 
 
+def _place(batches):
+    for b in batches:
+        rows = []
+        for host, html in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
+            page = int.from_bytes(blake2b(html.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+            found = {key: (len(t), inside) for _, t, key, inside in placed_texts(read(html))}
+            rows += [(host, page, None, 0, False), *((host, page, key, *x) for key, x in found.items())]
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+        yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["host", "page", "key", "size", "inside"])
+
+
+def host_templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """``(host, shared)``: keys of the texts that ``TEMPLATE_SHARE`` of all different pages of a host have at one place.
+
+    A host with fewer than ``SUPPORT`` pages needs all of them, two at least, and keeps what stands inside articles. As
+    in ``induce``, a host whose text is the same for the larger part has no template.
+    """
+    rows = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")).where("host <> '' AND html <> ''")
+    placed = rows.mapInArrow(_place, "host string, page long, key long, size long, inside boolean").distinct()
+    texts = cut(placed.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.max("inside").alias("inside")), "placed-texts")
+    hosts = texts.groupBy("host").agg(F.max(F.when(F.col("key").isNull(), F.col("n"))).alias("n_pages"), F.sum(F.col("n") * F.col("size")).alias("chars"))
+    often = texts.where("key IS NOT NULL AND n >= 2").join(hosts, "host").where(
+        F.when(F.col("n_pages") >= SUPPORT, (F.col("n") >= SUPPORT) & (F.col("n") >= TEMPLATE_SHARE * F.col("n_pages")))
+        .otherwise((F.col("n") == F.col("n_pages")) & ~F.col("inside")))
+    return often.groupBy("host").agg(F.collect_list("key").alias("shared"), F.sum(F.col("n") * F.col("size")).alias("same"), F.max("chars").alias("chars")).where(
+        F.col("same") <= (1 - VARYING) * F.col("chars")).select("host", "shared")
+
+
 def host_of(url):
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
 
 
 def _extract(names: list[str]):
     def run(batches):
+        sets: dict[str, frozenset] = {}
         for b in batches:
-            text = [main_text(h, w) for h, w in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
-            yield pa.record_batch([*b.columns[:-2], pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], names=names)
+            hosts, htmls, wrappers, shared = (b.column(k).to_pylist() for k in range(b.num_columns - 4, b.num_columns))
+            text = []
+            for host, html, wrapper, keys in zip(hosts, htmls, wrappers, shared, strict=True):
+                if keys and host not in sets:
+                    if len(sets) >= 256:
+                        sets.clear()
+                    sets[host] = frozenset(keys)
+                text.append(main_text(html, wrapper, sets[host] if keys else ()))
+            yield pa.record_batch([*b.columns[:-4], pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], names=names)
     return run
 
 
 def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``(page_id, url, text, n_chars)`` of every page."""
-    wrappers = cut(host_wrappers(pages, url, html), "wrappers").withColumnRenamed("host", "w_host")
+    known = cut(host_wrappers(pages, url, html).join(host_templates(pages, url, html), "host", "full"), "wrappers").withColumnRenamed("host", "w_host")
     kind = pages.schema[page_id].dataType.simpleString()
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
-    rows = rows.join(wrappers, host_of(rows["url"]) == wrappers["w_host"], "left").select("page_id", "url", "html", "wrapper")
+    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
+    rows = rows.join(known, rows["host"] == known["w_host"], "left").select("page_id", "url", "host", "html", "wrapper", "shared")
     return rows.mapInArrow(_extract(["page_id", "url", "text", "n_chars"]), f"page_id {kind}, url string, text string, n_chars long")

@@ -1,6 +1,7 @@
 """HTML extraction, WARC derivatives and the pipeline."""
 
 import html as H
+import random
 import re
 
 import pytest
@@ -68,6 +69,21 @@ def test_wrapper_drops_what_all_pages_share():
     assert X.induce(copies) is None
 
 
+def test_template_is_counted_over_all_pages_of_a_host(spark):
+    rng = random.Random(4)
+    story = lambda: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(40))
+    one = lambda t: f"<div><div>We close early on Fridays</div><p>{t}</p></div>"
+    two = lambda t: f"<div><div>The other layout's notice</div><p>{t}</p><div>Our address and hours</div></div>"
+    rows = [(f"http://big.org/{k}", t, (two if k % 4 == 0 else one)(t)) for k in range(40) for t in [story()]]
+    rows += [(f"http://big.org/e{k}", None, f"<h1>Error {k}</h1>") for k in range(1)]
+    rows += [(f"http://small.org/{k}", t, one(t)) for k in range(3) for t in [story()]]
+    rows += [(f"http://copies.org/{k}", t, f"<div><div>{t}</div><i>{k}</i></div>") for t in [story()] for k in range(2)]
+    d = spark.createDataFrame([(k, u, h) for k, (u, _, h) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.url: r.text for r in X.extract_pages(d).collect()}
+    assert all(got[u] == t for u, t, _ in rows if "big" in u and t or "small" in u)
+    assert all(t in got[u] for u, t, _ in rows if "copies" in u)
+
+
 def test_extraction_of_all_pages_equals_their_articles(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     extra = spark.createDataFrame([(-1, None, None), (-2, "http://a.b/c", ""), (-3, "nohost", "<p>x</p>"), (-3, "nohost", "<p>x</p>")], pages.schema)
