@@ -27,8 +27,13 @@ from .common import private
 WINDOW, HIDDEN, SAMPLE_DOCS, WINDOWS_PER_DOC = 64, 8, 2000, 6
 STEPS, BATCH, RATE, SEED = 160, 160, 0.02, 11
 UNKNOWN, PAD = "und", 0
-#: Below it a document's language counts as untold (chance is 0.25 with four languages).
-MIN_SCORE = 0.3
+#: A language is told if the score is this share of the way from chance (1 / languages) to 1, and the letter pairs are
+#: ``MIN_FAMILIAR`` of the way from random letters to the median of learned-language windows kept out of the table.
+MIN_SCORE, MIN_FAMILIAR = 0.05, 0.5
+#: Added to each count of a pair of letters.
+PAIR_PRIOR = 0.05
+#: One in so many sampled rows is kept out of the pair table for its limit.
+HELD = 5
 #: Windows that are read at a time.
 CHUNK = 2048
 
@@ -142,6 +147,35 @@ def pooled(p: dict[str, np.ndarray], texts: list[bytes], n_lang: int) -> np.ndar
     return total[:, :-1] / np.maximum(total[:, -1:], 1)
 
 
+def pair_table(x: np.ndarray, y: np.ndarray, n_lang: int) -> np.ndarray:
+    """(language, byte, next byte): logarithm of the share that the next byte has among the letters after the byte."""
+    out = np.empty((n_lang, 256, 256), np.float32)
+    for k in range(n_lang):
+        a, b = x[y == k, :-1].ravel(), x[y == k, 1:].ravel()
+        both = (_LETTER[a] * _LETTER[b]).astype(bool)
+        n = np.bincount(a[both].astype(int) * 256 + b[both], minlength=1 << 16).reshape(256, 256) + PAIR_PRIOR
+        out[k] = np.log(n / n.sum(axis=1, keepdims=True))
+    return out
+
+
+def familiar(p: dict[str, np.ndarray], text: bytes, lang: int) -> float:
+    """Mean of the language's pair table over the letter pairs of a text: how much it looks like what was learned."""
+    t = np.frombuffer(text, np.uint8)
+    both = (_LETTER[t[:-1]] * _LETTER[t[1:]]).astype(bool)
+    return float(p["T"][lang, t[:-1][both], t[1:][both]].mean()) if both.any() else 0.0
+
+
+def familiar_limits(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, out: np.ndarray, n_lang: int) -> np.ndarray:
+    """For each language the least ``familiar`` of its texts, between random letters and the windows ``out`` of the table."""
+    limits = np.zeros(n_lang)
+    for k in range(n_lang):
+        mine = x[(y == k) & out] if (out & (y == k)).any() else x[y == k]
+        letters = np.flatnonzero(np.bincount(x[y == k].ravel(), minlength=256) * _LETTER)
+        chance, usual = p["T"][k][np.ix_(letters, letters)].mean(), np.median([familiar(p, w.tobytes(), k) for w in mine])
+        limits[k] = chance + MIN_FAMILIAR * (usual - chance)
+    return limits
+
+
 def _sampled_windows(batches):
     for b in batches:
         text, lang, h = b.column("t").to_pylist(), b.column("l").to_pylist(), b.column("h").to_pylist()
@@ -173,11 +207,14 @@ def fit(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, doc_id: str = "doc
     langs = sorted({r["l"] for r in got})
     if not langs:
         return [], None
-    x = np.stack([np.frombuffer(r["x"], np.uint8) for r in got])
-    return langs, train(x, np.array([langs.index(r["l"]) for r in got]), len(langs))
+    x, y = np.stack([np.frombuffer(r["x"], np.uint8) for r in got]), np.array([langs.index(r["l"]) for r in got])
+    out = np.array([r["h"] % HELD == 0 for r in got])
+    out &= np.bincount(y)[y] >= 10 * HELD  # a language with few windows keeps them all in the table
+    network = train(x, y, len(langs)) | {"T": pair_table(x[~out], y[~out], len(langs))}
+    return langs, network | {"limit": familiar_limits(network, x, y, out, len(langs))}
 
 
-def _predict(langs: list[str], p: dict[str, np.ndarray] | None, names: list[str]):
+def _predict(langs: list[str], p: dict[str, np.ndarray] | None, names: list[str], strict: bool):
     def run(batches):
         for b in batches:
             texts = b.column(b.num_columns - 1).to_pylist()
@@ -188,19 +225,22 @@ def _predict(langs: list[str], p: dict[str, np.ndarray] | None, names: list[str]
                 best = prob.argmax(axis=1)
                 score[known] = np.clip(prob[np.arange(len(known)), best], 0, 1)
                 for k, i in zip(known, best, strict=True):
-                    pred[k] = langs[i]
+                    if not strict or familiar(p, texts[k].encode("utf-8"), i) >= p["limit"][i]:
+                        pred[k] = langs[i]
             yield pa.record_batch([*b.columns[:-1], pa.array(pred, pa.string()), pa.array(score)], names=names)
     return run
 
 
-def predict(documents: DataFrame, langs: list[str], network, text: str = "text") -> tuple[DataFrame, str, str]:
-    """``documents`` with the predicted language and its score, and the names of these two columns."""
+def predict(documents: DataFrame, langs: list[str], network, text: str = "text", strict: bool = False) -> tuple[DataFrame, str, str]:
+    """``documents`` with the predicted language and its score, and the names of these two columns.
+
+    With ``strict`` a text whose letter pairs don't look like the language is ``und``."""
     pred, score, seen = private(documents, "lang_pred", "score", "letters")
     readable = F.when(F.col(text).rlike(r"\p{L}"), F.col(text))  # null, and with it und, without a letter
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
     names = [*documents.columns, pred, score]
     return documents.withColumn(seen, readable).mapInArrow(
-        _predict(langs, network, names), f"{fields}, `{pred}` string, `{score}` double"), pred, score
+        _predict(langs, network, names, strict), f"{fields}, `{pred}` string, `{score}` double"), pred, score
 
 
 def language_report(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
@@ -212,7 +252,9 @@ def language_report(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Dat
 
 
 def keep_identified(documents: DataFrame, min_score: float = MIN_SCORE, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """The documents whose language is told with at least ``min_score``; ``und`` goes."""
+    """The documents whose language is told, ``min_score`` of the way from chance to 1 at least; ``und`` goes."""
     langs, network = fit(documents, sample_docs)
-    out, pred, score = predict(documents, langs, network)
-    return out.where((F.col(pred) != UNKNOWN) & (F.col(score) >= min_score)).select(*documents.columns)
+    out, pred, score = predict(documents, langs, network, strict=True)
+    chance = 1 / max(1, len(langs))
+    least = chance + min_score * (1 - chance) - 1e-6
+    return out.where((F.col(pred) != UNKNOWN) & (F.col(score) >= least)).select(*documents.columns)

@@ -100,6 +100,23 @@ def test_language_held_out_accuracy_and_edges(spark):
     assert L.language_report(docs.limit(0)).count() == 0
 
 
+def test_foreign_and_random_texts_are_not_identified(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(5)
+    noise = lambda letters: "".join(rng.choice(list(letters), int(rng.integers(60, 600))))
+    planted = [noise("abcdefghijklmnopqrstuvwxyz    ") for _ in range(40)] + [noise("\u0430\u0431\u0432\u0433\u0434\u0435\u0438\u043a\u043b\u043c\u043d\u043e\u043f  ") for _ in range(40)]
+    planted += ["Min\u00e4 olen opiskelija ja asun Helsingiss\u00e4 yhdess\u00e4 yst\u00e4vieni kanssa vanhassa talossa"]
+    d = docs.union(spark.createDataFrame([(10**6 + k, t, None) for k, t in enumerate(planted)], docs.schema))
+    ids = {r.doc_id for r in L.keep_identified(d).select("doc_id").collect()}
+    assert sum(k >= 10**6 for k in ids) <= 2
+    held = [r.doc_id for r in docs.where("crc32(CAST(doc_id AS STRING)) % 4 = 2").collect()]
+    assert sum(k not in ids for k in held) <= 0.02 * len(held)
+    for langs in (["en"], ["en", "de"]):
+        few = d.where(F.col("lang").isin(langs) | F.col("lang").isNull())
+        ids = {r.doc_id for r in L.keep_identified(few).select("doc_id").collect()}
+        assert sum(k >= 10**6 for k in ids) <= 2 and sum(k < 10**6 for k in ids) > 0.97 * few.where("lang IS NOT NULL").count()
+
+
 def _luhn(d):
     s = 0
     for i, c in enumerate(reversed(d)):
