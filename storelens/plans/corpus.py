@@ -62,17 +62,17 @@ def preprocess(corpus: DataFrame) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows to keep are found on (id, hash) alone, then only these are cleaned.
+    """One row for each (text, sentiment), the least id's, is found, then only these are cleaned.
 
-    Grouping by a 256-bit hash of the text keeps whole texts out of the shuffle keys (a hash
+    Grouping by a 256-bit hash of the text keeps whole texts out of the shuffle keys (an
     aggregate with map-side reduction; a hot group of copies costs a row for each task).
     """
     raw = reviews_from_documents(spark, sf_dir)
     ok = raw.where(C("text").isNotNull() & C("sentiment").isNotNull()
                    & C("sentiment").isin(SENTIMENTS)).withColumn("__key", F.unhex(F.sha2("text", 256)))
-    first = ok.groupBy("__key", "sentiment").agg(F.min("doc_id").alias("doc_id"))
-    deduped = ok.join(first, ["__key", "sentiment", "doc_id"], "left_semi").withColumn(
-        "cleaned_review", clean_text(C("text")))
+    # all rows of a group have the same text; the least id is null only where all are
+    deduped = ok.groupBy("__key", "sentiment").agg(
+        F.min("doc_id").alias("doc_id"), F.first("text").alias("text")).withColumn("cleaned_review", clean_text(C("text")))
     return (deduped.where(F.length("cleaned_review") > 0)
             .select("doc_id", "text", "sentiment", "cleaned_review",
                     label_of(C("sentiment")).alias("label")))

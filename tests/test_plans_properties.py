@@ -76,6 +76,14 @@ def test_rank_at_most_keeps_all_ties(spark):
     assert got == [(0, 1), (1, 1), (2, 1), (3, 4), (4, 5), (5, 5)][:4]
 
 
+def test_corpus_keeps_one_row_of_repeated_and_null_ids(spark, tmp_path):
+    rows = [(1, "a repeated text", "en"), (1, "a repeated text", "en"), (2, "a repeated text", "en"), (None, "no id at all", "fr"), (None, "no id at all", "fr"),
+            (None, "one id here", "en"), (3, "one id here", "en"), (4, "one id here", "fr"), (5, None, "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(((r.doc_id, r.text) for r in corpus(spark, str(tmp_path)).collect()), key=repr)
+    assert got == sorted([(1, "a repeated text"), (None, "no id at all"), (3, "one id here"), (4, "one id here")], key=repr)
+
+
 def test_split_partitions_corpus_and_is_stratified(spark):
     c = corpus(spark, SF_SMALL)
     s = stratified_split(c)
