@@ -107,5 +107,5 @@ def parsed(data: bytes):
 
 
 def derivative_report(pages: DataFrame) -> DataFrame:
-    """The derivative records of all pages, with the length of the block for the block itself."""
-    return derive(responses_of_pages(pages)).drop("block")
+    """The derivative records of all pages, whole: what ``to_records`` writes."""
+    return derive(responses_of_pages(pages))

@@ -11,6 +11,7 @@ import corpus_pipeline
 from storelens.llm import extraction as X
 from storelens.llm import warc as W
 from storelens.llm.dom import parse
+from storelens.llm.queries import op7_warc
 
 PAGE = """<html><body><header><h1>Site</h1></header><div class="cookie-notice">We use cookies</div><nav><a href=x>Home</a></nav>
 <main><article><header><h1>Title &amp; more</h1></header><p>One <span class="ad">buy</span>two<br>three<ul><li>a<li>b</ul>
@@ -131,6 +132,12 @@ def test_derivative_report_has_two_records_a_page(spark):
     assert all(r.n_links == len(parse(html[r.target_uri]).links) for r in rows)
 
 
+def test_the_warc_query_has_the_blocks(spark):
+    rows = op7_warc(spark, "/root/testdata/sf0.001").collect()
+    assert all(W.digest(bytes(r.block)) == r.block_digest and len(r.block) == r.content_length for r in rows)
+    assert all(len(r.block) > 0 for r in rows)
+
+
 def test_pipeline_stages_keep_the_columns_and_clean_documents(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
