@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from . import oracle
 from .common import table
+from .conversations import repair_report
 from .decontamination import decontamination_report
 from .embeddings import near_vectors
 from .extraction import extract_pages
 from .language import language_report
 from .lines import EXACT_CHARS, line_report
+from .manifest import merkle_report
 from .mixing import mix_report
 from .pii import pii_report
+from .quality import quality_report
 from .simhash import fingerprint_hex, simhash_groups
 from .tokens import token_report
 from .warc import derivative_report
@@ -60,6 +63,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest, and what tampering with every other id's line breaks does to it."""
+    without_breaks = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    return merkle_report(table(spark, sf_dir, "documents"), without_breaks)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_language_id": op2_language_id,
@@ -71,9 +88,15 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_mixing": op10_mixing,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE = {
     "op1_decontamination": oracle.OP1,
     "op5_pii": oracle.OP5,
+    "op11_quality_rules": oracle.OP11,
+    "op12_merkle_manifest": oracle.OP12,
+    "op13_conversation_repair": oracle.OP13,
 }
