@@ -20,28 +20,29 @@ PART = "__part"
 
 
 def running_sums(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, Column | str],
-                 totals: dict[str, str] | None = None, name: str = "ordered") -> DataFrame:
+                 totals: dict[str, str] | None = None, name: str = "ordered", parts: int | None = None) -> DataFrame:
     """``df`` with, for each ``out: value`` of ``sums``, the sum of the value over the rows of the same group
     that come before the row (0 for the first).
 
-    ``totals`` maps names of ``sums`` to names of columns that get the group's whole sum. Null group keys
-    are a group; null values count 0.
+    ``totals`` maps names of ``sums`` to names of columns that get the group's whole sum; ``parts`` is the number of
+    ranges, left to Spark by default. Null group keys are a group; null values count 0.
     """
     value = {out: f"__v_{out}" for out in sums}
     given = df.withColumns({value[o]: F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(0)) for o, c in sums.items()})
-    laid = cut_lineage(given.repartitionByRange(*[F.col(c) for c in by], *order).withColumn(PART, F.spark_partition_id()), name)
-    parts = laid.groupBy(*by, PART).agg(*[F.sum(v).alias(v) for v in value.values()])
+    ranges = ([parts] if parts else []) + [F.col(c) for c in by] + order
+    laid = cut_lineage(given.repartitionByRange(*ranges).withColumn(PART, F.spark_partition_id()), name)
+    sizes = laid.groupBy(*by, PART).agg(*[F.sum(v).alias(v) for v in value.values()])
     whole = Window.partitionBy(*by)
     earlier = whole.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     keys = [f"__k{i}" for i in range(len(by))]
-    parts = parts.select(
+    sizes = sizes.select(
         *[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(PART).alias("__p"),
         *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"__b_{o}") for o, v in value.items()],
         *[F.sum(value[o]).over(whole).alias(t) for o, t in (totals or {}).items()])
     inside = Window.partitionBy(*by, PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = laid.select("*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"__i_{o}") for o, v in value.items()])
-    same = reduce(Column.__and__, [local[c].eqNullSafe(parts[k]) for c, k in zip(by, keys, strict=True)], local[PART] == parts["__p"])
-    return local.join(parts, same).select(
+    same = reduce(Column.__and__, [local[c].eqNullSafe(sizes[k]) for c, k in zip(by, keys, strict=True)], local[PART] == sizes["__p"])
+    return local.join(sizes, same).select(
         *[local[c] for c in df.columns], *[(F.col(f"__b_{o}") + F.col(f"__i_{o}")).alias(o) for o in sums],
         *[F.col(t) for t in (totals or {}).values()])
 

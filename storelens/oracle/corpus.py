@@ -74,12 +74,13 @@ FROM lengths, (SELECT MIN({m}_length) AS mn, MAX({m}_length) AS mx FROM lengths)
 GROUP BY ALL"""
 
 
-TFIDF = f"""
+VOCABULARY = f"""
 , toks AS (SELECT doc_id, split, list_filter({terms('cleaned_review')}, lambda w: NOT list_contains({_STOPS}, w)) AS t FROM split_rows),
 grams AS (SELECT doc_id, split, unnest(list_concat(t, {bigrams('t')})) AS term FROM toks),
 tf AS (SELECT doc_id, split, term, COUNT(*) AS tf FROM grams GROUP BY doc_id, split, term),
 vocab AS (SELECT term, SUM(tf) AS cnt, COUNT(*) AS df FROM tf WHERE split = 'train'
-          GROUP BY term ORDER BY cnt DESC, term LIMIT 20000),
+          GROUP BY term ORDER BY cnt DESC, term LIMIT 20000)"""
+TFIDF = VOCABULARY + f""",
 ntrain AS (SELECT COUNT(*) AS n FROM split_rows WHERE split = 'train'),
 w AS (SELECT tf.doc_id, tf.term,
         (ln(tf.tf) + 1) * (ln((ntrain.n + 1.0) / (vocab.df + 1)) + 1) AS w

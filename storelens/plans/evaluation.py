@@ -4,13 +4,12 @@ Every metric is computed from aggregates, never from collected rows:
 * confusion matrix / report: the (label, prediction) pairs collapse to at most k^2 counts
   in one partial aggregation; precision, recall, F1 and averages are arithmetic on those;
 * one-vs-rest ROC-AUC: the Mann-Whitney statistic with tie-averaged ranks, computed from
-  per-distinct-score counts and *bucketed* prefix sums (scores bucketed by value; the
-  bucket table is bounded by classes x buckets; ranks inside a bucket only see that
-  bucket's distinct scores) - exact, with no global sort into one task.
+  per-distinct-score counts and running sums over ranges of scores (``operators.ordered``) -
+  exact for any range of scores, with no global sort into one task.
 
-Registered keys evaluate a transparent lexicon scorer that is expressible in SQL (so the
-metrics get a DuckDB oracle); the same operators evaluate Spark ML predictions in
-``storelens.plans.modeling``.
+The ``m_*`` keys here evaluate a transparent lexicon scorer that is expressible in SQL (so the
+metrics get a DuckDB oracle); the same operators evaluate the trained models' predictions in
+``storelens.plans.classifier``.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ID2LABEL, LABEL2ID, name_of
+from ..operators.ordered import running_sums
 from ..operators.shares import pct, rnd
 from ..session import cut_lineage
 from .corpus import corpus, stratified_split
@@ -134,23 +134,18 @@ def classification_report(pred: DataFrame, digits: int = 8) -> DataFrame:
     return rows.unionByName(accuracy).unionByName(macro).unionByName(weighted)
 
 
-def auc_ovr(pred: DataFrame, buckets: int = 65536, digits: int = 8) -> DataFrame:
-    """M9: one-vs-rest ROC-AUC per class, plus macro and prevalence-weighted averages."""
+def auc_ovr(pred: DataFrame, buckets: int | None = None, digits: int = 8) -> DataFrame:
+    """M9: one-vs-rest ROC-AUC per class, plus macro and prevalence-weighted averages.
+
+    Scores may have any range (probabilities or decision values): equal scores are added up first, and what
+    lies below each comes from ranges split by a sample (``buckets`` of them, left to Spark by default).
+    """
     long = pred.select("label", F.inline(F.array(*[
         F.struct(F.lit(c).alias("cls"), C(f"p{c}").cast("double").alias("score")) for c in CLASSES])))
     per_value = long.groupBy("cls", "score").agg(
         F.count_if(C("label") == C("cls")).alias("n_pos"),
         F.count_if(C("label") != C("cls")).alias("n_neg"))
-    b = F.least(F.lit(buckets - 1), F.greatest(F.lit(0), F.floor(C("score") * buckets))).cast("int")
-    per_value = per_value.withColumn("bucket", b)
-    bucket_neg = per_value.groupBy("cls", "bucket").agg(F.sum("n_neg").alias("bucket_neg"))
-    below_b = Window.partitionBy("cls").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = bucket_neg.select("cls", "bucket",
-                                F.coalesce(F.sum("bucket_neg").over(below_b), F.lit(0)).alias("neg_before"))
-    below_v = Window.partitionBy("cls", "bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (per_value.join(F.broadcast(offsets), ["cls", "bucket"])  # <= classes x buckets rows
-              .withColumn("neg_below", C("neg_before")
-                          + F.coalesce(F.sum("n_neg").over(below_v), F.lit(0))))
+    ranked = running_sums(per_value, ["cls"], [C("score")], {"neg_below": "n_neg"}, name="auc", parts=buckets)
     per_cls = ranked.groupBy("cls").agg(
         F.sum(C("n_pos") * (C("neg_below") + C("n_neg") * 0.5)).alias("u"),
         F.sum("n_pos").alias("P"), F.sum("n_neg").alias("N"))
@@ -184,6 +179,12 @@ def summary_metrics(pred: DataFrame, model: str, digits: int = 8) -> DataFrame:
                   rnd(F.sum(C("f1_score") * C("support")) / F.sum("support"), digits).alias("weighted_f1"))
 
 
+def model_metrics(pred: DataFrame, model: str, digits: int = 8) -> DataFrame:
+    """A model's row of the comparison: the summary metrics and the macro one-vs-rest ROC-AUC."""
+    auc = auc_ovr(pred, digits=digits).where(C("row_name") == "macro").select(F.lit(model).alias("model"), "roc_auc")
+    return summary_metrics(pred, model, digits).join(auc, "model")  # one row each
+
+
 def compare_models(metrics: DataFrame) -> DataFrame:
     """Model table with the winner (max macro F1; ties to the model name) flagged."""
     best = metrics.orderBy(C("macro_f1").desc(), C("model")).limit(1).select(
@@ -261,9 +262,7 @@ def m_compare(spark: SparkSession, sf: str) -> DataFrame:
     scored = _scored(spark, sf)
     test = lambda d: d.where(C("split") == "test")
     prior = prior_scores(scored.select("doc_id", "label", "split"))
-    metrics = summary_metrics(test(scored), "lexicon").unionByName(
-        summary_metrics(test(prior), "prior"))
-    return compare_models(metrics)
+    return compare_models(model_metrics(test(scored), "lexicon").unionByName(model_metrics(test(prior), "prior")))
 
 
 QUERIES = {

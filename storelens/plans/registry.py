@@ -17,7 +17,7 @@ from ..oracle import dashboard as oracle_dashboard
 from ..oracle import evaluation as oracle_evaluation
 from ..oracle import quality as oracle_quality
 from ..oracle import star_build as oracle_star_build
-from . import analytics, corpus, dashboard, evaluation, modeling, quality
+from . import analytics, classifier, corpus, dashboard, evaluation, modeling, quality
 from . import star as star_plans
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -33,7 +33,7 @@ def _on_star(fn) -> Builder:
 
 def queries() -> dict[str, Builder]:
     out: dict[str, Builder] = {k: _on_star(v) for k, v in analytics.QUERIES.items()}
-    for mod in (star_plans, quality, dashboard, corpus, evaluation, modeling):
+    for mod in (star_plans, quality, dashboard, corpus, evaluation, modeling, classifier):
         out |= mod.QUERIES
     return out
 
