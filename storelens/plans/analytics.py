@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from ..functions.tiers import (INSTALL_BUCKETS, RATING_TIERS, lower_bound_tiers, price_tier,
                                pricing_model)
 from ..operators.joins import anti
+from ..operators.quantiles import exact_quantiles
 from ..operators.reviews import per_app_reviews
 from ..operators.shares import pct, rnd, share_of_total
 from ..operators.topk import rank_at_most, top_k, top_k_ranked, top_n_per_group
@@ -215,10 +216,8 @@ def q19_popular_low_rated(dim: DataFrame, fact: DataFrame | None = None, k: int
 
 
 def q20_median_installs(dim: DataFrame, fact: DataFrame | None = None) -> DataFrame:
-    # percentile keeps a value->count map per group: memory grows with distinct values,
-    # not with rows, so a hot category does not materialise its rows in one task.
-    return (dim.where(C("installs_count").isNotNull()).groupBy("category")
-            .agg(rnd(F.median("installs_count"), 0).alias("median_installs")))
+    return exact_quantiles(dim, ["category"], "installs_count", [0.5], ["median"]).select(
+        "category", rnd(C("median"), 0).alias("median_installs"))
 
 
 # ----------------------------------------------------------------------------- reviews

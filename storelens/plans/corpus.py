@@ -5,8 +5,10 @@
 Negative). Texts are processed whole, with built-in string / array functions only.
 
 Scale notes
-* P1 dedupes on (text, sentiment) with a hash aggregate (partial aggregation collapses a
-  hot group of copies map-side); the kept row is the first in load order (min doc_id).
+* P1 dedupes on (text hash, sentiment) with a hash aggregate (partial aggregation collapses a
+  hot group of copies map-side); the kept row is the first in load order (min doc_id). The texts themselves
+  are only joined with the places of the copies that go.
+* Quantiles (E2, E6) are exact order statistics by histogram refinement over a table of lengths.
 * P5 gives *exact* stratified cuts without a window over a whole class: rows are bucketed
   by the leading hex digits of their hash, bucket sizes are prefix-summed per class (a
   table of at most classes x 16^digits rows, broadcast), and rows are ranked only inside
@@ -25,6 +27,7 @@ from ..functions.text import (ENGLISH_STOP_WORDS, clean_text, label_of, name_of,
                               strip_stop_words, terms, words)
 from ..operators.shares import rnd, share_of_total
 from ..operators.parallelism import spread
+from ..operators.quantiles import exact_quantiles
 from ..operators.topk import top_k
 from ..session import cut_lineage
 from ..sources.testdata import table
@@ -37,12 +40,15 @@ LANG_SENTIMENT = {"en": "Positive", "fr": "Neutral"}
 OTHER_SENTIMENT = "Negative"
 
 
+def _sentiment():
+    return (F.when(C("lang") == "en", F.lit(LANG_SENTIMENT["en"]))
+            .when(C("lang") == "fr", F.lit(LANG_SENTIMENT["fr"]))
+            .when(C("lang").isNotNull(), F.lit(OTHER_SENTIMENT)))
+
+
 def reviews_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    s = (F.when(C("lang") == "en", F.lit(LANG_SENTIMENT["en"]))
-         .when(C("lang") == "fr", F.lit(LANG_SENTIMENT["fr"]))
-         .when(C("lang").isNotNull(), F.lit(OTHER_SENTIMENT)))
-    return d.select("doc_id", "text", s.alias("sentiment"))
+    return d.select("doc_id", "text", _sentiment().alias("sentiment"))
 
 
 # ----------------------------------------------------------------------------- P1-P4
@@ -62,20 +68,24 @@ def preprocess(corpus: DataFrame) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each (text, sentiment), the least id's, is found, then only these are cleaned.
+    """One row for each (text, sentiment), the least id's (a row without an id only where no copy has one).
 
-    Grouping by a 256-bit hash of the text keeps whole texts out of the shuffle keys (an
-    aggregate with map-side reduction; a hot group of copies costs a row for each task).
+    Rows are told apart by their place in the files. A text's 256-bit hash stands for it: groups
+    of copies come from one aggregate over hashes, the rows that go are looked up in these groups alone, and the texts meet only the
+    places of the rows that go. No text is an aggregate's value or is sorted; copies are few beside the
+    corpus, so that join is a broadcast up to the planner's limit and shuffles beyond it.
     """
-    raw = reviews_from_documents(spark, sf_dir)
-    ok = raw.where(C("text").isNotNull() & C("sentiment").isNotNull()
-                   & C("sentiment").isin(SENTIMENTS)).withColumn("__key", F.unhex(F.sha2("text", 256)))
-    # all rows of a group have the same text; the least id is null only where all are
-    deduped = ok.groupBy("__key", "sentiment").agg(
-        F.min("doc_id").alias("doc_id"), F.first("text").alias("text")).withColumn("cleaned_review", clean_text(C("text")))
-    return (deduped.where(F.length("cleaned_review") > 0)
-            .select("doc_id", "text", "sentiment", "cleaned_review",
-                    label_of(C("sentiment")).alias("label")))
+    raw = table(spark, sf_dir, "documents")
+    placed = raw.select("doc_id", "text", _sentiment().alias("sentiment"), F.xxhash64("_metadata.file_path").alias("__file"),
+                        C("_metadata.row_index").alias("__row")).where(
+        C("text").isNotNull() & C("sentiment").isNotNull() & C("sentiment").isin(SENTIMENTS))
+    slim = placed.select("sentiment", F.unhex(F.sha2("text", 256)).alias("__key"),
+                         F.struct(C("doc_id").isNull().alias("none"), "doc_id", "__file", "__row").alias("__at"))
+    copies = slim.groupBy("__key", "sentiment").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    go = slim.join(copies.drop("__n"), ["__key", "sentiment"]).where(C("__at") != C("__first")).select("__at.__file", "__at.__row")
+    kept = spread(placed).join(go, ["__file", "__row"], "left_anti").withColumn("cleaned_review", clean_text(C("text")))
+    return (kept.where(F.length("cleaned_review") > 0)
+            .select("doc_id", "text", "sentiment", "cleaned_review", label_of(C("sentiment")).alias("label")))
 
 
 # ----------------------------------------------------------------------------- P5-P7
@@ -163,37 +173,34 @@ def _lengths(df: DataFrame) -> DataFrame:
                      F.size(words(C("cleaned_review"))).cast("bigint").alias("word_length"))
 
 
+def _measures(df: DataFrame) -> DataFrame:
+    """``(measure, sentiment, x)``: both lengths of every text, written once (the texts are read once)."""
+    return cut_lineage(_lengths(df).select("sentiment", F.inline(F.array(*[
+        F.struct(F.lit(m).alias("measure"), C(f"{m}_length").alias("x")) for m in ("char", "word")]))), "lengths")
+
+
 def length_stats(df: DataFrame) -> DataFrame:
-    """Mean / median / p95 / max of char and word length (linear-interpolated quantiles)."""
-    L = _lengths(df)
-    aggs = []
-    for m in ("char", "word"):
-        c = C(f"{m}_length")
-        aggs += [rnd(F.avg(c), 6).alias(f"{m}_mean"),
-                 rnd(F.percentile(c, 0.5), 6).alias(f"{m}_median"),
-                 rnd(F.percentile(c, 0.95), 6).alias(f"{m}_p95"),
-                 F.max(c).cast("double").alias(f"{m}_max")]
-    return L.agg(*aggs)
+    """Mean / median / p95 / max of char and word length (linear-interpolated exact quantiles)."""
+    lengths = _measures(df)
+    q = exact_quantiles(lengths, ["measure"], "x", [0.5, 0.95, 1], ["median", "p95", "max"])
+    mean = lengths.groupBy(C("measure").alias("of")).agg(rnd(F.avg("x"), 6).alias("mean"))
+    each = q.join(mean, C("measure") == C("of")).select("measure", "mean", rnd(C("median"), 6).alias("median"), rnd(C("p95"), 6).alias("p95"), "max")
+    return each.agg(*[F.max(F.when(C("measure") == m, C(c))).alias(f"{m}_{c}") for m in ("char", "word") for c in ("mean", "median", "p95", "max")])
 
 
 def length_histogram(df: DataFrame, bins: int = 50) -> DataFrame:
     """Shared-edge histogram per sentiment: bin = (x - min) * bins // (max - min), last bin closed.
 
-    Two passes: a one-row min/max aggregate (four numbers to the driver), then one
-    aggregation over (measure, sentiment, bin) for both measures at once.
+    The texts are read once, into a table of lengths; the least and greatest length of each measure (two rows) are
+    joined back to it.
     """
-    L = _lengths(df)
-    mm = L.agg(F.min("char_length"), F.max("char_length"),
-               F.min("word_length"), F.max("word_length")).first()
-    long = L.select("sentiment", F.inline(F.array(
-        F.struct(F.lit("char").alias("measure"), C("char_length").alias("x"),
-                 F.lit(mm[0]).alias("lo"), F.lit(mm[1]).alias("hi")),
-        F.struct(F.lit("word").alias("measure"), C("word_length").alias("x"),
-                 F.lit(mm[2]).alias("lo"), F.lit(mm[3]).alias("hi")))))
+    lengths = _measures(df)
+    ends = lengths.groupBy(C("measure").alias("of")).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     span = C("hi") - C("lo")
     b = F.when(span == 0, F.lit(0)).otherwise(
         F.least(F.lit(bins - 1), F.floor((C("x") - C("lo")) * bins / F.nullif(span, F.lit(0)))))
-    return (long.groupBy("measure", "sentiment", b.cast("bigint").alias("bin"))
+    return (lengths.join(F.broadcast(ends), C("measure") == C("of"))  # two rows
+            .groupBy("measure", "sentiment", b.cast("bigint").alias("bin"))
             .agg(F.count(F.lit(1)).cast("bigint").alias("n_reviews")))
 
 
@@ -218,14 +225,13 @@ def top_ngrams(df: DataFrame, sentiment: str = "Positive", n: int = 20, gram: in
 
 def token_length_profile(df: DataFrame, coverage_of: tuple[int, ...] = (64, 128, 256)) -> DataFrame:
     """Token-count profile; max length = first of 64/128/256 covering p95; coverage %."""
-    n = F.size(words(C("cleaned_review")))
-    L = df.select(n.alias("n_tokens"))
-    s = L.agg(rnd(F.avg("n_tokens"), 6).alias("mean_tokens"),
-              rnd(F.percentile("n_tokens", 0.5), 6).alias("median_tokens"),
-              rnd(F.percentile("n_tokens", 0.95), 6).alias("p95_tokens"),
-              F.max("n_tokens").cast("bigint").alias("max_tokens"),
-              *[rnd(F.avg((C("n_tokens") <= v).cast("int")) * 100, 4).alias(f"coverage_{v}")
-                for v in coverage_of])
+    lengths = cut_lineage(df.select(F.size(words(C("cleaned_review"))).alias("n_tokens")), "tokens")
+    q = exact_quantiles(lengths, [], "n_tokens", [0.5, 0.95, 1], ["median_tokens", "p95_tokens", "max_tokens"])
+    means = lengths.agg(F.count(F.lit(1)).alias("all"), rnd(F.avg("n_tokens"), 6).alias("mean_tokens"),
+                        *[rnd(F.avg((C("n_tokens") <= v).cast("int")) * 100, 4).alias(f"coverage_{v}") for v in coverage_of])
+    s = q.join(means, C("n") == C("all"), "right").select(  # one row each
+        "mean_tokens", rnd(C("median_tokens"), 6).alias("median_tokens"), rnd(C("p95_tokens"), 6).alias("p95_tokens"),
+        C("max_tokens").cast("bigint").alias("max_tokens"), *[f"coverage_{v}" for v in coverage_of])
     a, b, c = coverage_of
     rec = (F.when(C("p95_tokens") <= a, F.lit(a)).when(C("p95_tokens") <= b, F.lit(b))
            .otherwise(F.lit(c)))

@@ -123,3 +123,46 @@ def test_spread_only_when_under_parallel(spark):
     assert spread(wide, 8).rdd.getNumPartitions() == 16  # enough partitions: untouched
     narrow = spark.range(0, 1000, numPartitions=1)
     assert spread(narrow, 8).rdd.getNumPartitions() == 8
+
+
+def test_corpus_moves_no_text_through_aggregates(spark):
+    plan = corpus(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    moving = [line for line in plan.splitlines() if "Aggregate" in line or "Sort " in line]
+    assert moving and not any("text#" in line for line in moving)
+
+
+def test_exact_quantiles_equal_percentile_on_ties_and_distinct_doubles(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from storelens.operators.quantiles import exact_quantiles
+    rng = random.Random(4)
+    rows = [(rng.choice([None, "a", "b", "hot", "hot", "hot"]), rng.choice([None, 1.0, 1.0, 2.5, rng.gauss(0, 1), rng.uniform(-1e9, 1e9), -1.7e308, 1.7e308]))
+            for _ in range(4000)] + [("one", 5.0), ("none", None), ("same", 2.0), ("same", 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = [0, 0.25, 0.5, 0.95, 1]
+    for by, few in ((["g"], 1 << 16), (["g"], 700), ([], 1500)):  # few: finished at once, or after rounds of bins
+        got = {tuple(r[:len(by)]): tuple(r[len(by):]) for r in exact_quantiles(df, by, "v", probs, list("abcde"), bins=64, few=few).collect()}
+        want = df.where("v is not null").groupBy(*by).agg(F.percentile("v", probs).alias("q"), F.count("v").alias("n")).collect()
+        assert {tuple(r[b] for b in by) for r in want} == set(got)
+        for r in want:
+            n, *q = got[tuple(r[b] for b in by)]
+            assert n == r.n and q == pytest.approx(r.q, rel=1e-12)
+
+
+def test_running_sums_equal_windows_for_hot_and_null_groups(spark):
+    import random
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from storelens.operators.ordered import running_sums
+    rng = random.Random(5)
+    rows = [(i, rng.choice([None, "a"] + ["hot"] * 6), rng.choice([None, rng.randrange(50)]), rng.choice([None, 1, 2, 3])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, g string, x int, v int")
+    order = [F.col("x"), F.col("id")]
+    got = running_sums(df, ["g"], order, {"before": F.col("v").cast("bigint")}, {"before": "total"}, parts=13)
+    w = Window.partitionBy("g").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    want = df.select("*", F.coalesce(F.sum("v").over(w), F.lit(0)).alias("before"), F.sum("v").over(Window.partitionBy("g")).alias("total"))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
