@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.parsing import NA_STRINGS
 
-from .star import with_staging, with_star
+from .star import STG_REVIEWS_SQL, with_staging, with_star
 
 UNSIGNED = r"'^[0-9]+(\.[0-9]+)?$'"
 SIGNED = r"'^-?[0-9]+(\.[0-9]+)?$'"
@@ -144,6 +144,9 @@ GROUP BY c.table_name, r.row_count""",
         f"{na(c)} AS {c}" for c in ["app", "category", "rating", "reviews", "size", "installs", "type",
                                     "price", "content_rating", "genres", "last_updated",
                                     "current_ver", "android_ver"]) + " FROM stg_apps"),
+    "s_reviews_csv": with_star("SELECT raw_review_id, " + ", ".join(
+        f"{na(c)} AS {c}" for c in ["app", "translated_review", "sentiment", "sentiment_polarity", "sentiment_subjectivity"])
+        + ", CAST(0 AS BIGINT) AS out_of_order FROM stg_reviews", STG_REVIEWS_SQL),
     "s_dim_sample": with_star("""
 SELECT app_id, app_name, CAST(price_usd AS DOUBLE) AS price_usd, is_paid
 FROM dim_apps ORDER BY app_id LIMIT 10"""),

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import parsing as P
+from ..operators.hot_join import hot_join
 from ..sources.testdata import dim_apps, staging_apps, staging_reviews, table
 
 C = F.col
@@ -59,10 +60,11 @@ def build_dim_apps(stg: DataFrame) -> DataFrame:
 
 
 def build_fact_reviews(stg_reviews: DataFrame, dim: DataFrame) -> DataFrame:
-    """Inner join on the trimmed raw name; unmatched reviews drop, duplicates stay."""
+    """Inner join on the trimmed raw name; unmatched reviews drop, duplicates stay. Names with a large share of
+    the reviews are salted."""
     r = stg_reviews.withColumn("__name", F.trim(C("app")))
     d = dim.select(C("app_id"), C("app_name").alias("__name"))
-    return r.join(d, "__name", "inner").select(
+    return hot_join(r, d, "__name", ["raw_review_id"]).select(
         C("raw_review_id").alias("review_id"),
         "app_id",
         C("__name").alias("app_name"),
@@ -234,8 +236,30 @@ def s_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return read_raw(spark, root, APPS_COLUMNS)
 
 
+def s_reviews_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """S2 + S3: export the staging reviews as raw CSV files in id order and ingest them back with load ids;
+    ``out_of_order`` is 1 where a review's load id is after that of a later review (looked for in runs of 4,096 load ids)."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources.raw import REVIEWS_COLUMNS, read_raw, snake
+
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-reviews-{uuid.uuid4().hex}"
+    stg = staging_reviews(spark, sf)
+    raw = stg.select("raw_review_id", *[C(snake(c)).alias(c) for c in REVIEWS_COLUMNS])
+    ordered = raw.repartitionByRange("raw_review_id").sortWithinPartitions("raw_review_id")
+    (ordered.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(root))
+    back = read_raw(spark, root, ["raw_review_id", *REVIEWS_COLUMNS], load_id="load_id")
+    by_file = Window.partitionBy(F.expr("load_id div 4096")).orderBy("load_id")
+    ids = C("raw_review_id").cast("bigint")
+    late = (ids < F.lag(ids).over(by_file)).cast("int")
+    return back.select(ids.alias("raw_review_id"), *[snake(c) for c in REVIEWS_COLUMNS], F.coalesce(late, F.lit(0)).cast("bigint").alias("out_of_order"))
+
+
 QUERIES = {
     "s_csv_roundtrip": s_csv_roundtrip,
+    "s_reviews_csv": s_reviews_csv,
     "c_parse_rating": c_parse_rating,
     "c_parse_reviews": c_parse_reviews,
     "c_parse_size": c_parse_size,

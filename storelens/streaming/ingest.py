@@ -1,11 +1,11 @@
 """Incremental staging ingestion: new raw CSV drops -> staging parquet (S4 append mode).
 
-``readStream`` over a landing folder with the all-string schema, NA strings to NULL and
-snake_case names. Each micro-batch gets load-order ids ``batch_id * 2^40 + row id`` and is
-written by ``foreachBatch`` to its own ``batch=<id>`` folder in overwrite mode, so a
-replayed batch (after a failure) rewrites the same files: together with the stream
-checkpoint under the cluster's ``spark.checkpoint.dir`` the output is exactly-once. ``availableNow`` processes everything present and stops, which is
-how a scheduled import runs; a long-running trigger is a parameter away.
+``readStream`` over the lines of a landing folder; each micro-batch is cut into records by byte ranges like a
+batch import (``sources.records``), with NA strings to NULL and snake_case names. It gets load-order ids
+``batch_id * 2^44 + record number`` and is written by ``foreachBatch`` to its own ``batch=<id>`` folder in overwrite
+mode, so a replayed batch (after a failure) rewrites the same files: together with the stream
+checkpoint under the cluster's ``spark.checkpoint.dir`` the output is exactly-once. ``availableNow`` processes everything
+present and stops, which is how a scheduled import runs; a long-running trigger is a parameter away.
 """
 
 from __future__ import annotations
@@ -13,27 +13,25 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.parsing import na_to_null
 from ..session import ensure_checkpoint_dir
-from ..sources.raw import all_string_schema, snake
+from ..sources.raw import staged
+from ..sources.records import lines_of, parsed, records_of
 
 
 def stream_staging(spark: SparkSession, landing: str, staging: str, columns: list[str],
                    name: str = "staging_ingest", load_id: str = "raw_app_id",
                    available_now: bool = True):
     ckpt_root = ensure_checkpoint_dir(spark)
-    src = (spark.readStream.schema(all_string_schema(columns))
-           .option("header", True).option("multiLine", True).option("escape", '"')
-           .csv(landing))
-    rows = src.select(*[na_to_null(F.col(f"`{c}`")).alias(snake(c)) for c in columns])
+    lines = lines_of(spark.readStream)(landing)
 
     def write_batch(batch, batch_id: int) -> None:
-        # at most 2^11 partitions of 2^33 rows each fit below the next batch's ids
-        ids = F.lit(batch_id).cast("bigint") * F.lit(1 << 44) + F.monotonically_increasing_id()
-        (batch.coalesce(1 << 11).withColumn(load_id, ids).write.mode("overwrite")
-         .parquet(f"{staging.rstrip('/')}/batch={batch_id}"))
+        # at most 2^44 records of a batch fit below the next batch's ids
+        rows = parsed(records_of(batch), columns, "__number")
+        ids = F.lit(batch_id).cast("bigint") * F.lit(1 << 44) + F.col("__number")
+        rows.select(*staged(columns), ids.alias(load_id)).write.mode("overwrite").parquet(
+            f"{staging.rstrip('/')}/batch={batch_id}")
 
-    writer = (rows.writeStream.foreachBatch(write_batch)
+    writer = (lines.writeStream.foreachBatch(write_batch)
               .option("checkpointLocation", f"{ckpt_root.rstrip('/')}/{name}")
               .queryName(name))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(

@@ -166,3 +166,25 @@ def test_running_sums_equal_windows_for_hot_and_null_groups(spark):
     w = Window.partitionBy("g").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     want = df.select("*", F.coalesce(F.sum("v").over(w), F.lit(0)).alias("before"), F.sum("v").over(Window.partitionBy("g")).alias("total"))
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_hot_join_spreads_hot_keys_and_equals_a_plain_join(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from storelens.operators.hot_join import hot_join, hot_keys
+    rng = random.Random(6)
+    left = spark.createDataFrame([(i, rng.choice(["hot"] * 5 + ["warm"] * 2 + [None] + [f"k{j}" for j in range(8)])) for i in range(4000)], "id long, k string")
+    right = spark.createDataFrame([("hot", 1), ("hot", 2), ("warm", 3), (None, 4), ("k1", 5), ("k1", 5), ("unused", 6)], "k string, v int")
+    got = hot_join(left, right, "k", ["id"], parts=8)
+    assert got.columns == ["k", "id", "v"]
+    want = left.join(right, "k")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select("k", "id", "v").collect()))
+    hot = {r["__hot"]: r["__salts"] for r in hot_keys(left, "k", 8).collect()}
+    shares = {r.k: r.n for r in left.where("k is not null").groupBy("k").agg(F.count("*").alias("n")).collect()}
+    total = sum(shares.values())
+    assert hot == {k: -(-n * 8 // total) for k, n in shares.items() if n * 8 > total} and len(hot) < 8
+    dealt = left.where("k = 'hot'").groupBy(F.pmod(F.xxhash64("id"), F.lit(hot["hot"]))).count().collect()
+    assert len(dealt) == hot["hot"] and max(r["count"] for r in dealt) < 1.3 * total / 8
+    assert hot_join(left.limit(0), right, "k", ["id"]).count() == 0

@@ -66,3 +66,78 @@ def test_staging_truncates_or_appends(spark, tmp_path):
     write_staging(with_load_id(spark.range(5).repartition(3).toDF("app")), path)
     back = spark.read.parquet(path)
     assert back.count() == 5 and back.select("raw_app_id").distinct().count() == 5
+
+
+def _random_csv(seed: int, rows: int, returns: bool = True) -> tuple[str, list[list[str]]]:
+    """A CSV text with quoted line breaks, doubled quotes and stray quotes inside fields, and its records."""
+    import random
+
+    rng = random.Random(seed)
+    out, records = [], []
+    for i in range(rows):
+        fields = []
+        for _ in range(4):
+            kind = rng.randrange(6)
+            if kind == 0:
+                fields.append((f"v{rng.randrange(99)}", None))
+            elif kind == 1:
+                fields.append(("a 5 inch", None))
+            else:
+                value = "".join(rng.choice(["x", "y,", '"', "\n", "\r\n" if returns else "z", '","', '"\n"', " ", "é", "\n\n"]) for _ in range(rng.randrange(1, 9)))
+                fields.append((value, True))
+        records.append([str(i)] + [v for v, _ in fields])
+        out.append(",".join([str(i)] + [('"' + v.replace('"', '""') + '"') if q else v for v, q in fields]))
+    end = rng.choice(["\n", "\r\n"]) if returns else "\n"
+    return end.join(["id,a,b,c,d", *out]) + rng.choice(["", end]), records
+
+
+def test_records_of_tiny_splits_equal_the_file(spark, tmp_path):
+    from storelens.sources.records import read_records
+
+    columns = ["id", "a", "b", "c", "d"]
+    want = []
+    for k in range(3):
+        text, records = _random_csv(k, 60)
+        (tmp_path / f"part-{k}.csv").write_bytes(text.encode())
+        want += records
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    for size in ("37b", "200b", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            df = read_records(spark, str(tmp_path), columns, "n")
+            got = sorted(map(tuple, df.collect()))
+            if size == "37b":
+                assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 100
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+            spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+        assert [list(r[1:]) for r in got] == want  # in the files' order
+        assert len({r[0] for r in got}) == len(want)
+
+
+def test_records_agree_with_a_read_in_one_task(spark, tmp_path):
+    from storelens.sources.records import read_records
+
+    columns = ["id", "a", "b", "c", "d"]
+    for k in range(4):
+        path = tmp_path / f"{k}.csv"
+        # without carriage returns: the one-task reader turns those inside quotes into line feeds, ours keeps them
+        path.write_bytes(_random_csv(100 + k, 80, returns=False)[0].encode() + b'\n\n77,it"s,,"",last\n78,short\n')
+        one = spark.read.schema(", ".join(f"{c} string" for c in columns)).option("header", True).option("multiLine", True).option(
+            "escape", '"').csv(str(path))
+        assert sorted(map(repr, read_records(spark, str(path), columns).drop("number").collect())) == sorted(map(repr, one.collect()))
+
+
+def test_load_ids_follow_the_files(spark, tmp_path):
+    header = ",".join(f'"{c}"' for c in APPS_COLUMNS) + "\n"
+    for k, name in enumerate(["b", "a", "c"]):
+        (tmp_path / f"{name}.csv").write_text(header + "".join(",".join([f"{name}{i:03d}"] + ["x" * (1000 if k == 0 else 1)] * 12) + "\n" for i in range(40)))
+    rows = read_raw(spark, str(tmp_path), APPS_COLUMNS, load_id="raw_app_id").orderBy("raw_app_id").collect()
+    assert [r.app for r in rows] == [f"{n}{i:03d}" for n in "abc" for i in range(40)]
+
+
+def test_empty_files_have_no_records(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("")
+    (tmp_path / "b.csv").write_text("App\n")
+    assert read_raw(spark, str(tmp_path), ["App"]).count() == 0
