@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
+from itertools import groupby
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure
@@ -40,12 +42,14 @@ class _Reader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.stack: list[tuple[str, Node | None, bool]] = [("#", self.root, False)]  # tag, its node, whether it is silent
+        self.open: Counter[str] = Counter()  # tags on the stack
         self.nodes, self.silent, self.in_link = [self.root], 0, 0
         self.mute_inline = mute_inline
         self.title, self.links, self.lang = [], [], None
 
     def _pop(self):
         tag, node, silent = self.stack.pop()
+        self.open[tag] -= 1
         self.silent -= silent
         self.in_link -= tag == "a"
         if node is not None:
@@ -62,7 +66,7 @@ class _Reader(HTMLParser):
         if tag == "html":
             self.lang = attrs.get("lang", self.lang)
             return
-        if tag in BLOCK:
+        if tag in BLOCK and self.open["p"]:
             for k in range(len(self.stack) - 1, 0, -1):
                 if self.stack[k][0] == "p":
                     while len(self.stack) > k:
@@ -85,6 +89,7 @@ class _Reader(HTMLParser):
             self._add(node)
             self.nodes.append(node)
         self.stack.append((tag, node, silent))
+        self.open[tag] += 1
         self.silent += silent
         self.in_link += tag == "a"
 
@@ -92,6 +97,8 @@ class _Reader(HTMLParser):
         self.handle_starttag(tag, attrs)  # a slash means nothing on elements that are not void
 
     def handle_endtag(self, tag):
+        if not self.open[tag]:
+            return
         for k in range(len(self.stack) - 1, 0, -1):
             open_, node, _ = self.stack[k]
             if open_ == tag:
@@ -115,11 +122,15 @@ class _Reader(HTMLParser):
             self.nodes[-1].links += len(data)
 
     def _add(self, part):
-        parts = self.nodes[-1].parts
-        if isinstance(part, str) and parts and isinstance(parts[-1], str):
-            parts[-1] += part
-        else:
-            parts.append(part)
+        self.nodes[-1].parts.append(part)
+
+    def close(self):
+        super().close()
+        todo = [self.root]
+        while todo:  # texts that no block parts are one
+            node = todo.pop()
+            node.parts = [x for is_text, run in groupby(node.parts, lambda p: isinstance(p, str)) for x in (["".join(run)] if is_text else run)]
+            todo += [p for p in node.parts if isinstance(p, Node)]
 
 
 def parse(html: str, mute_inline=lambda tag, attrs: False) -> _Reader:

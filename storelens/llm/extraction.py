@@ -10,11 +10,16 @@ The content region is the smallest container with most (``REGION_SHARE``) of the
 headings before it; it doesn't narrow past paragraphs beside it or to one of several sections. Tags are
 hints: an article is never narrowed, and where the articles of the region hold half of its text or more, all
 top-level ones of them are the article; otherwise the small ones are teasers and go. Elements that say what they are
-(nav, aside, form, class "comments", role "banner", ...) are left out, and so are articles inside an article, which are
-reader comments. Where
+(nav, aside, form, role "banner", ...) are left out, and so are articles inside an article, which are
+reader comments. Class names and ids are hints: one counts if all words of the whole name say so ("cookie-notice", not
+"notice-board"), never on a paragraph, heading or list item, and inside the region only as long as the blocks so named
+hold less than ``NAMED_SHARE`` of its text. Where
 nothing marks the region, blocks that are mostly links go too. A template needs ``SUPPORT`` references and
 texts that vary for the larger part, so copies of one page don't become their own template.
 
+The template finds the region and clears its edges: what stands in an article, or between varying texts of
+the region, is never removed for being constant - headings that every recipe of a host has belong to the recipe.
+
 The references only align. What is constant is also counted over all pages of a host: texts that a share of its
 different pages has at the same place (the labels from the root down) join the template, in hosts of two pages or
 more; in hosts with fewer than ``SUPPORT`` pages all of them must have it, and texts inside articles stay.
@@ -49,6 +54,12 @@ LINK_SHARE, REGION_SHARE, BESIDE = 0.5, 0.7, 0.05
 CONTAINERS = frozenset("article body center div main section".split())
 PROSE = frozenset("p blockquote ul ol dl pre table".split())
 HEADINGS = frozenset("h1 h2 h3 hgroup".split())
+#: Blocks of text themselves, which names say nothing about.
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption".split())
+#: Blocks that only their names mark go while they hold less than this share of the region's text.
+NAMED_SHARE = 1 / 3
+#: Children that are compared on either side of the diagonal when two long sequences are aligned.
+BAND = 64
 
 SIDE_TAGS = frozenset("nav footer aside form menu dialog search".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
@@ -59,8 +70,19 @@ popup modal overlay pagination pager widget widgets toolbar skip""".split())
 HEAD_WORDS = frozenset("header masthead topbar banner".split())
 
 
-def _words(attrs: dict[str, str]) -> set[str]:
-    return set(WORDS.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))
+#: Words that may stand beside the others in a name.
+PLAIN_WORDS = frozenset("""area bar block body bottom box button buttons col column container content form global group inner item items left link links
+list main outer page panel post posts primary right secondary section site slot top wrap wrapper""".split())
+
+
+@lru_cache(4096)
+def _named(names: str, words: frozenset) -> bool:
+    """Whether one of the names (classes, id) says one of the words and nothing else of its own."""
+    return any(found & words and found <= words | PLAIN_WORDS for name in names.split() for found in [set(WORDS.findall(name))])
+
+
+def _names(attrs: dict[str, str]) -> str:
+    return f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()
 
 
 def _hidden(attrs: dict[str, str]) -> bool:
@@ -68,18 +90,26 @@ def _hidden(attrs: dict[str, str]) -> bool:
 
 
 def _side(tag: str, attrs: dict[str, str]) -> bool:
-    """Whether an element says that it isn't the article."""
+    """Whether an element says that it isn't the article, by its kind or by its name."""
+    return _side_kind(tag, attrs) or _side_name(tag, attrs)
+
+
+def _side_kind(tag: str, attrs: dict[str, str]) -> bool:
     if tag in ("html", "body", "article", "main") and not _hidden(attrs):
         return False
-    return tag in SIDE_TAGS or attrs.get("role", "").lower() in SIDE_ROLES or _hidden(attrs) or bool(_words(attrs) & SIDE_WORDS)
+    return tag in SIDE_TAGS or attrs.get("role", "").lower() in SIDE_ROLES or _hidden(attrs)
+
+
+def _side_name(tag: str, attrs: dict[str, str]) -> bool:
+    return tag not in ("html", "body", "article", "main") and tag not in TEXT_TAGS and _named(_names(attrs), SIDE_WORDS)
 
 
 def _page_head(node: Node) -> bool:
-    return node.tag == "header" or node.tag not in ("html", "body", "article", "main") and bool(_words(node.attrs) & HEAD_WORDS)
+    return node.tag == "header" or node.tag not in ("html", "body", "article", "main") and _named(_names(node.attrs), HEAD_WORDS)
 
 
 def _inline_side(tag: str, attrs: dict[str, str]) -> bool:
-    return tag in SIDE_TAGS or bool(attrs) and (_hidden(attrs) or bool(_words(attrs) & SIDE_WORDS))
+    return tag in SIDE_TAGS or bool(attrs) and (_hidden(attrs) or _named(_names(attrs), SIDE_WORDS))
 
 
 def read(html: str) -> Node:
@@ -101,30 +131,49 @@ def grouped(node: Node, depth: int = 0) -> list:
 
 
 def tree_match(a: list, b: list) -> tuple[int, list]:
-    """Size of the largest order-preserving match of two group trees, and its pairs of groups."""
+    """Size of the largest order-preserving match of two group trees, and its pairs of groups.
+
+    Children are compared within ``BAND`` places of the diagonal (or the difference of the lengths, if
+    larger by no more), so time and memory grow with the longer sequence, not with the product; up to ``BAND``
+    children the match is the largest.
+    """
     if a[0] != b[0]:
         return 0, []
     x, y = a[2], b[2]
-    best = [[(0, None)] * (len(y) + 1) for _ in range(len(x) + 1)]
+    if not x or not y:
+        return 1, [(a, b)]
+    slope = len(y) / len(x)
+    known: dict[tuple[int, int], tuple[int, list]] = {}  # matches of children that have children
+    steps, above, low = [], [0] * (len(y) + 1), 0
     for i in range(1, len(x) + 1):
-        for j in range(1, len(y) + 1):
-            cell = max((best[i - 1][j][0], 1), (best[i][j - 1][0], 2))
+        mid = round(i * slope)
+        first, last = max(1, mid - BAND), min(len(y), mid + BAND)
+        row, step, left = [0] * (last + 1 - first), bytearray(last + 1 - first), 0
+        for j in range(first, last + 1):
+            up = above[j - low] if j - low < len(above) else above[-1]
+            corner = above[j - 1 - low] if 0 <= j - 1 - low < len(above) else above[-1] if j - 1 >= low else 0
+            best, way = (up, 1) if up >= left else (left, 2)
             if x[i - 1][0] == y[j - 1][0]:
-                size, pairs = tree_match(x[i - 1], y[j - 1])
-                if best[i - 1][j - 1][0] + size > cell[0]:
-                    cell = (best[i - 1][j - 1][0] + size, pairs)
-            best[i][j] = cell
-    i, j, pairs = len(x), len(y), [(a, b)]
+                size = 1
+                if x[i - 1][2] and y[j - 1][2]:
+                    size = known.setdefault((i, j), tree_match(x[i - 1], y[j - 1]))[0]
+                if corner + size > best:
+                    best, way = corner + size, 3
+            row[j - first], step[j - first], left = best, way, best
+        steps.append((first, step))
+        above, low = row, first
+    total, i, j, pairs = above[-1], len(x), steps[-1][0] + len(steps[-1][1]) - 1, [(a, b)]
     while i and j:
-        step = best[i][j][1]
-        if step == 1:
+        first, step = steps[i - 1]
+        way = 2 if j - first >= len(step) else step[j - first] if j >= first else 1
+        if way == 1:
             i -= 1
-        elif step == 2:
+        elif way == 2:
             j -= 1
         else:
-            pairs += step
+            pairs += known[i, j][1] if (i, j) in known else [(x[i - 1], y[j - 1])]
             i, j = i - 1, j - 1
-    return best[len(x)][len(y)][0] + 1, pairs
+    return total + 1, pairs
 
 
 def _texts(group: list) -> list[str]:
@@ -247,10 +296,32 @@ def main_text(html: str | None, wrapper: str | None = None, shared: Collection[i
                 node.template = {*node.template, t}
     weight, articles = _weigh(root)
     regions, teasers, marked = _region(root, weight, articles)
-    blocks = [(n, t) for region in regions for n, t in walk(region, lambda m: id(m) not in weight or id(m) in teasers) if t not in n.template]
+    out = [t for region in regions for t in _region_texts(region, teasers, marked)]
+    return "\n\n".join(out)
+
+
+def _region_texts(region: Node, teasers: set[int], marked: bool) -> list[str]:
+    """The texts of a region without what marks itself as something else and, outside articles, the template's at its edges."""
+    head = region.tag != "article"
+
+    def other(node: Node) -> bool:  # not the article, whatever its name
+        return node is not region and (id(node) in teasers or _side_kind(node.tag, node.attrs) or (
+            _page_head(node) if head and node.tag != "article" else node.tag == "article" and not head))
+
+    def named(node: Node) -> bool:
+        return node is not region and _side_name(node.tag, node.attrs)
+
+    whole = [*walk(region, other)]
+    blocks = [*walk(region, lambda m: other(m) or named(m))]
+    size = lambda found: sum(len(t) for _, t in found)
+    if size(whole) - size(blocks) >= NAMED_SHARE * size(whole):
+        blocks = whole  # so much text isn't a side matter, whatever its name
     if not marked:
         blocks = [(n, t) for n, t in blocks if n.links <= LINK_SHARE * sum(map(len, n.texts()))]
-    return "\n\n".join(t for _, t in blocks)
+    if head:
+        varying = [k for k, (n, t) in enumerate(blocks) if t not in n.template]
+        blocks = blocks[varying[0]:varying[-1] + 1] if varying else []
+    return [t for _, t in blocks]
 
 
 def _induce_host(rows: pd.DataFrame) -> pd.DataFrame:

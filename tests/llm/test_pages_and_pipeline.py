@@ -85,8 +85,71 @@ def test_template_is_counted_over_all_pages_of_a_host(spark):
     assert all(t in got[u] for u, t, _ in rows if "copies" in u)
 
 
-def test_extraction_of_all_pages_equals_their_articles(spark):
-    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+@pytest.mark.parametrize(("html", "text"), [
+    # names that only contain such a word, or hold most of the text, don't count
+    ('<article><h1>T</h1><div class="notice-board"><p>A b c d e f.</p></div></article>', ["T", "A b c d e f."]),
+    ('<article><h1>T</h1><p class="promo">A b c.</p><p class="promo">D e f.</p></article>', ["T", "A b c.", "D e f."]),
+    ('<article><p>Intro.</p><section class="related-work"><p>Earlier.</p></section><section id="comments-on-law"><p>Law.</p></section></article>',
+     ["Intro.", "Earlier.", "Law."]),
+    (f"<article>{STORY}<div class='related-posts'><p>Others</p></div><div class='cookie-notice'>We use cookies</div></article>", LONG),
+    (f"<article><div class='comments'>{STORY}</div></article>", LONG),
+])
+def test_names_are_hints(html, text):
+    assert X.main_text(html) == "\n\n".join(text)
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_headings_that_all_pages_of_a_host_have_stay(spark, tag):
+    rng = random.Random(8)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    rows, want = [], {}
+    for k in range(12):
+        title, things, steps = words(4), words(30), words(60)
+        rows.append((k, f"http://cook.org/{k}", f"<div>Eat well</div><{tag}><h1>{title}</h1><h2>Ingredients</h2><p>{things}</p><h2>Method</h2><p>{steps}</p></{tag}>"))
+        want[k] = "\n\n".join([title, "Ingredients", things, "Method", steps])
+    got = X.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == want
+
+
+def test_long_pages_are_aligned_and_read_in_proportion():
+    import time
+
+    def page(k, n):
+        return X.grouped(X.read("".join(f"<h2>a{i}{k}</h2><p>b</p><ul><li>c</ul>" for i in range(n))))
+
+    start = time.time()
+    size, pairs = X.tree_match(page(1, 7000), page(2, 6990))
+    assert size > 6990 * 4 and len(pairs) == size
+    for html in ("<b>" * 80000 + "x", "<b>x</b>" * 80000, "<i>" * 8000 + "<p>y</b>" * 8000):
+        assert X.main_text(html)
+    assert time.time() - start < 60
+
+
+def test_matches_of_short_sequences_are_the_largest():
+    rng = random.Random(9)
+
+    def tree(depth):
+        return [rng.choice("abc"), [], [tree(depth - 1) for _ in range(rng.randrange(5))] if depth else []]
+
+    def largest(a, b):
+        if a[0] != b[0]:
+            return 0
+        best = [[0] * (len(b[2]) + 1) for _ in range(len(a[2]) + 1)]
+        for i, x in enumerate(a[2]):
+            for j, y in enumerate(b[2]):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + largest(x, y))
+        return best[-1][-1] + 1
+
+    for _ in range(300):
+        a, b = tree(3), tree(3)
+        size, pairs = X.tree_match(a, b)
+        assert size == largest(a, b) == len(pairs)
+        assert all(x[0] == y[0] for x, y in pairs)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_extraction_of_all_pages_equals_their_articles(spark, sf):
+    pages = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet")
     extra = spark.createDataFrame([(-1, None, None), (-2, "http://a.b/c", ""), (-3, "nohost", "<p>x</p>"), (-3, "nohost", "<p>x</p>")], pages.schema)
     got = X.extract_pages(pages.union(extra).withColumn("text", F.lit("clash"))).collect()
     want = []
