@@ -2,17 +2,20 @@
 
 Both records name the response they come from (WARC-Refers-To with its identifier, target URI and date),
 keep its HTTP headers and payload digest, and carry digests of their own blocks. Identifiers are
-name-based, so a rerun writes the same records. Digests are ``sha1:`` with base 32.
+name-based, so a rerun writes the same records; a page's name holds its payload's digest. Digests are ``sha1:`` with base 32.
+Payloads are read in the charset of their HTTP headers, UTF-8 if these name none that is known.
 
 Defined results: a null payload is an empty one; a null target URI or date leaves its header out; null HTTP
-headers are none; repeated responses give repeated records; an empty table gives no rows; a payload that is no
-UTF-8 is read with replacement characters. Other columns are not looked at and may have any name.
+headers are none; repeated responses give repeated records; an empty table gives no rows; bytes that the charset
+doesn't have are read as replacement characters. Other columns are not looked at and may have any name.
 """
 
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
+import re
 import uuid
 
 import pyarrow as pa
@@ -31,6 +34,20 @@ def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data, usedforsecurity=False).digest()).decode()
 
 
+_CHARSET = re.compile(r"^content-type:[^\r\n]*?;\s*charset\s*=\s*[\"']?([^\s;\"']+)", re.IGNORECASE | re.MULTILINE)
+
+
+def charset(headers: str) -> str:
+    """The charset that HTTP headers name, if it is one of text that is known."""
+    found = _CHARSET.search(headers)
+    try:
+        name = codecs.lookup(found[1]).name if found else "utf-8"
+        b"".decode(name)
+    except (LookupError, ValueError):
+        return "utf-8"
+    return name
+
+
 def _record(kind: str, source: str, uri, date, content_type: str, headers: str, source_digest: str, block: bytes, n_links: int):
     own = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind} {source}')}>"
     return own, kind, source, uri, date, content_type, headers, source_digest, block, digest(block), len(block), n_links
@@ -39,7 +56,7 @@ def _record(kind: str, source: str, uri, date, content_type: str, headers: str,
 def derivatives(record_id: str, uri: str | None, date: str | None, headers: str | None, payload: bytes | None) -> list[tuple]:
     """The metadata and the conversion record of one response."""
     payload, headers = payload or b"", headers or ""
-    page = parse(payload.decode("utf-8", "replace"))
+    page = parse(payload.decode(charset(headers), "replace"))
     blocks = [t for _, t in walk(page.root)]
     fields = [("title", " ".join("".join(page.title).split())), ("language", page.lang or ""), ("blocks", str(len(blocks))),
               *(("outlink", " ".join(x.split())) for x in page.links)]
@@ -64,9 +81,10 @@ def derive(responses: DataFrame) -> DataFrame:
 
 def responses_of_pages(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """``pages (page_id, url, html)`` as response records."""
-    md5 = F.md5(F.concat_ws(" ", F.col("page_id").cast("string"), "url"))
-    part = lambda a, n: F.substring(md5, a, n)
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    known = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("page_id", "url")]
+    md5 = F.md5(F.concat_ws(" ", *known, F.sha1(payload)))
+    part = lambda a, n: F.substring(md5, a, n)
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "),
                     F.length(payload).cast("string"), F.lit(CRLF))
     return pages.select(

@@ -195,6 +195,21 @@ def test_derivative_report_has_two_records_a_page(spark):
     assert all(r.n_links == len(parse(html[r.target_uri]).links) for r in rows)
 
 
+@pytest.mark.parametrize(("headers", "payload", "text"), [
+    ("Content-Type: text/html; charset=ISO-8859-1\r\n", "<p>caf\xe9</p>".encode("latin-1"), "caf\xe9"),
+    ("X: y\r\ncontent-type: text/html;charset=\"windows-1251\"", "<p>\u043c\u0438\u0440</p>".encode("cp1251"), "\u043c\u0438\u0440"),
+    ("Content-Type: text/html; charset=nonsense\r\n", "<p>\u20ac</p>".encode(), "\u20ac"), ("Content-Type: text/html; charset=hex", b"<p>x", "x"),
+    ("Content-Type: text/html", "<p>\u20ac</p>".encode(), "\u20ac"), (None, b"<p>\xff", "\ufffd")])
+def test_payloads_are_read_in_the_charset_of_their_headers(headers, payload, text):
+    assert bytes(W.derivatives("<urn:uuid:1>", "u", "d", headers, payload)[1][8]).decode() == text
+
+
+def test_pages_of_one_name_have_records_of_their_own(spark):
+    rows = [(1, "http://a/b", "<p>one"), (1, "http://a/b", "<p>two"), (1, None, "<p>one"), (None, "1", "<p>one")]
+    got = W.derivative_report(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len({r.record_id for r in got}) == 2 * len(rows) and len({r.refers_to for r in got}) == len(rows)
+
+
 def test_the_warc_query_has_the_blocks(spark):
     rows = op7_warc(spark, "/root/testdata/sf0.001").collect()
     assert all(W.digest(bytes(r.block)) == r.block_digest and len(r.block) == r.content_length for r in rows)
