@@ -189,25 +189,26 @@ def _sampled_windows(batches):
 
 
 def fit(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, doc_id: str = "doc_id", text: str = "text",
-        lang: str = "lang") -> tuple[list[str], dict[str, np.ndarray] | None]:
-    """The languages and the network, learned from ``documents``."""
+        lang: str = "lang", pairs: bool = True) -> tuple[list[str], dict[str, np.ndarray] | None]:
+    """The languages and the network, learned from ``documents``; with ``pairs`` also the letter pairs of each language."""
     rows = documents.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.col(doc_id).cast("string").alias("i")).where(
         "t IS NOT NULL AND l IS NOT NULL AND crc32(i) % 4 <> 2").where(F.col("t").rlike(r"\p{L}"))
     counts = {r[0]: r[1] for r in rows.groupBy("l").count().collect()}  # one for each language
     if not counts:
         return [], None
     langs = sorted(counts)
-    share = documents.sparkSession.createDataFrame(
-        [(k, min(1.0, sample_docs / len(langs) / n)) for k, n in counts.items()], "k string, share double")
+    # the share of each language stands in the filter of the scan: nothing but the sample is moved
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample_docs / len(langs) / n))])
     h = F.xxhash64(F.lit(SEED), "i", "t")
-    picked = rows.join(share, rows["l"] == share["k"]).withColumn("h", h).where(
-        F.pmod("h", F.lit(1_000_000)) < F.col("share") * 1_000_000).select("t", "l", "h")
+    picked = rows.withColumn("h", h).where(F.pmod("h", F.lit(1_000_000)) < share[F.col("l")] * 1_000_000).select("t", "l", "h")
     got = picked.mapInArrow(_sampled_windows, "x binary, l string, h long").orderBy("h", "x").limit(
         2 * sample_docs * WINDOWS_PER_DOC).collect()
     langs = sorted({r["l"] for r in got})
     if not langs:
         return [], None
     x, y = np.stack([np.frombuffer(r["x"], np.uint8) for r in got]), np.array([langs.index(r["l"]) for r in got])
+    if not pairs:
+        return langs, train(x, y, len(langs))
     out = np.array([r["h"] % HELD == 0 for r in got])
     out &= np.bincount(y)[y] >= 10 * HELD  # a language with few windows keeps them all in the table
     network = train(x, y, len(langs)) | {"T": pair_table(x[~out], y[~out], len(langs))}
@@ -244,7 +245,7 @@ def predict(documents: DataFrame, langs: list[str], network, text: str = "text",
 
 
 def language_report(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    langs, network = fit(documents, sample_docs)
+    langs, network = fit(documents, sample_docs, pairs=False)
     docs = documents.select("doc_id", F.coalesce(F.expr("crc32(CAST(doc_id AS STRING)) % 4 = 2"), F.lit(False)).alias("held_out"),
                             "text")
     out, _, _ = predict(docs, langs, network)
