@@ -28,51 +28,59 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN cover USING (r) LEFT JOIN its USING (r)
 """
 
-OP5 = r"""
+#: kind, pattern, words nearby; the checks are in the query.
+PII_KINDS = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "mail|contact|write"),
+    ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", r"\bip\b|address|host|server"),
+    ("card", "[0-9](?:[ -]?[0-9])+", "card|credit|visa|pay"),
+    ("phone", r"\+[0-9][ ().0-9-]+[0-9]", r"phone|call|\btel|mobile|fax"),
+    ("iban", "[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", "iban|bank|account"),
+    ("iban_spaced", r"\b[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [0-9]{1,3})?\b", "iban|bank|account"),
+    ("phone_local", r"\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}\b", r"phone|call|\btel|mobile|fax"),
+    ("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "ssn|social|security"),
+    ("secret", r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\x22'']? *[:=] *[\x22'']?[A-Za-z0-9_+/=-]{16,}",
+     "auth|login|credential|config"),
+    ("access_key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|-----BEGIN [A-Z ]*PRIVATE KEY-----", "key|secret|auth"),
+)
+_found = "\n  UNION ALL\n  ".join(
+    f"SELECT r, {k} AS k, '{name}' AS kind, '{context}' AS context, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS p FROM d"
+    for k, (name, pattern, context) in enumerate(PII_KINDS, 1))
+_counts = ", ".join(f"count(*) FILTER (kind = '{name}') AS n_{name}" for name, _, _ in PII_KINDS)
+_columns = ", ".join(f"coalesce(n_{name}, 0) AS n_{name}" for name, _, _ in PII_KINDS)
+
+OP5 = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
-kinds(k, kind, pattern, context) AS (VALUES
-  (1, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+', 'mail|contact|write'),
-  (2, 'ip', '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+', '\bip\b|address|host|server'),
-  (3, 'card', '[0-9](?:[ -]?[0-9])+', 'card|credit|visa|pay'),
-  (4, 'phone', '\+[0-9][ ().0-9-]+[0-9]', 'phone|call|\btel|mobile|fax'),
-  (5, 'iban', '[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}', 'iban|bank|account')),
 found AS (
-  SELECT r, 1 AS k, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS m,
-         string_split_regex(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS p FROM d
-  UNION ALL
-  SELECT r, 2, regexp_extract_all(t, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'), string_split_regex(t, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+') FROM d
-  UNION ALL
-  SELECT r, 3, regexp_extract_all(t, '[0-9](?:[ -]?[0-9])+'), string_split_regex(t, '[0-9](?:[ -]?[0-9])+') FROM d
-  UNION ALL
-  SELECT r, 4, regexp_extract_all(t, '\+[0-9][ ().0-9-]+[0-9]'), string_split_regex(t, '\+[0-9][ ().0-9-]+[0-9]') FROM d
-  UNION ALL
-  SELECT r, 5, regexp_extract_all(t, '[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}'), string_split_regex(t, '[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}') FROM d),
+  {_found}),
 placed AS (
-  SELECT r, k, m[i] AS s, regexp_replace(m[i], '[^0-9]', '', 'g') AS digits, substr(m[i], 5) || substr(m[i], 1, 4) AS moved,
+  SELECT r, k, kind, context, m[i] AS s, regexp_replace(m[i], '[^0-9]', '', 'g') AS digits,
+         substr(replace(m[i], ' ', ''), 5) || substr(m[i], 1, 4) AS moved, regexp_extract(m[i], '[A-Za-z0-9_+/=-]+$') AS val,
          CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a
-  FROM (SELECT r, k, m, p, unnest(range(1, len(m) + 1)) AS i FROM found)),
+  FROM (SELECT r, k, kind, context, m, p, unnest(range(1, len(m) + 1)) AS i FROM found)),
 ok AS (
-  SELECT r, k, kind, a, a + length(s) AS z, s FROM placed JOIN kinds USING (k)
-  WHERE CASE k
-    WHEN 1 THEN TRUE
-    WHEN 2 THEN list_max(list_transform(string_split(s, '.'), lambda x: coalesce(try_cast(x AS HUGEINT), 1000))) <= 255
-    WHEN 3 THEN length(digits) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda i:
+  SELECT r, k, kind, context, a, a + length(s) AS z, s FROM placed
+  WHERE CASE kind
+    WHEN 'ip' THEN list_max(list_transform(string_split(s, '.'), lambda x: coalesce(try_cast(x AS HUGEINT), 1000))) <= 255
+    WHEN 'card' THEN length(digits) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda i:
         CASE WHEN i % 2 = 1 THEN CAST(reverse(digits)[i] AS INT)
              ELSE (2 * CAST(reverse(digits)[i] AS INT)) // 10 + (2 * CAST(reverse(digits)[i] AS INT)) % 10 END)) % 10 = 0
-    WHEN 4 THEN length(digits) BETWEEN 9 AND 15
-    ELSE list_reduce(list_prepend(0, list_transform(range(1, length(moved) + 1), lambda i:
+    WHEN 'phone' THEN length(digits) BETWEEN 9 AND 15
+    WHEN 'ssn' THEN digits[1:3] NOT IN ('000', '666') AND digits[1] <> '9' AND digits[4:5] <> '00' AND digits[6:9] <> '0000'
+    WHEN 'secret' THEN regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Za-z]') AND len(list_distinct(string_split(val, ''))) >= 8
+    WHEN 'iban' THEN list_reduce(list_prepend(0, list_transform(range(1, length(moved) + 1), lambda i:
+        CASE WHEN moved[i] BETWEEN '0' AND '9' THEN CAST(ascii(moved[i]) - 48 AS BIGINT) ELSE CAST(ascii(moved[i]) - 55 AS BIGINT) END)),
+        lambda x, y: (x * CASE WHEN y > 9 THEN 100 ELSE 10 END + y) % 97) = 1
+    WHEN 'iban_spaced' THEN list_reduce(list_prepend(0, list_transform(range(1, length(moved) + 1), lambda i:
         CASE WHEN moved[i] BETWEEN '0' AND '9' THEN CAST(ascii(moved[i]) - 48 AS BIGINT) ELSE CAST(ascii(moved[i]) - 55 AS BIGINT) END)),
-        lambda x, y: (x * CASE WHEN y > 9 THEN 100 ELSE 10 END + y) % 97) = 1 END),
+        lambda x, y: (x * CASE WHEN y > 9 THEN 100 ELSE 10 END + y) % 97) = 1
+    ELSE TRUE END),
 agg AS (
-  SELECT r, count(*) FILTER (k = 1) AS n_email, count(*) FILTER (k = 2) AS n_ip, count(*) FILTER (k = 3) AS n_card,
-         count(*) FILTER (k = 4) AS n_phone, count(*) FILTER (k = 5) AS n_iban,
+  SELECT r, {_counts},
          string_agg(kind || ':' || a || ':' || z, ',' ORDER BY k, a) FILTER (k < 5) AS base,
          string_agg(kind || ':' || a || ':' || z, ',' ORDER BY k, a) AS spans,
          count(*) FILTER (regexp_matches(substr(t, greatest(a - 40, 0) + 1, a - greatest(a - 40, 0)), '(?i)' || context)) AS n_context
-  FROM ok JOIN d USING (r) JOIN (SELECT k, context FROM kinds) USING (k) GROUP BY r)
-SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
-       coalesce(n_phone, 0) AS n_phone, coalesce(n_iban, 0) AS n_iban, sha256(coalesce(base, '')) AS base_sha256,
-       coalesce(spans, '') AS spans, coalesce(n_context, 0) AS n_context
+  FROM ok JOIN d USING (r) GROUP BY r)
+SELECT doc_id, {_columns}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_context, 0) AS n_context
 FROM d LEFT JOIN agg USING (r)
 """
 

@@ -2,7 +2,9 @@
 
 Proposals are leftmost, non-overlapping matches of each kind; one whose check fails is dropped and not
 tried again. Checks: an ip's parts are at most 255, a card has 13 to 19 digits that pass Luhn, a phone
-number 9 to 15 digits, an iban passes mod-97. A confirmed span scores 0.6; a word of its kind
+number 9 to 15 digits, an iban (in one piece or in groups of four) passes mod-97, a social security number has no
+area, group or serial that is never given out, an assigned secret has letters and digits and ``LEAST_DISTINCT`` different
+characters; access keys and private keys are told by their fixed form. A confirmed span scores 0.6; a word of its kind
 within ``CONTEXT`` code points before it adds 0.3. Positions are code points, ends exclusive, and come
 from the lengths of matches and of the text between them.
 
@@ -25,6 +27,9 @@ from pyspark.sql import functions as F
 from .common import let, up_to
 
 CONTEXT, BASE_SCORE, CONTEXT_SCORE = 40, 0.6, 0.3
+LEAST_DISTINCT = 8
+#: Matches whose positions are added up at a time: the sums of a text take time in proportion to its matches.
+RUN = 512
 SPAN_TYPE = "array<struct<kind:string,start:int,stop:int,score:double>>"
 
 
@@ -46,6 +51,12 @@ def mod_97(iban: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, v: (a * F.when(v > 9, 100).otherwise(10) + v) % 97) == 1
 
 
+def random_looking(m: Column) -> Column:
+    """Whether the value that a name is given looks like a key: letters, digits, enough different characters."""
+    return let(F.regexp_extract(m, r"([A-Za-z0-9_+/=-]{16,})$", 1), lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]") & (
+        F.size(F.array_distinct(F.split(v, ""))) >= LEAST_DISTINCT))
+
+
 class Kind(NamedTuple):
     name: str
     pattern: str
@@ -66,17 +77,37 @@ KINDS = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: t.rlike(r"\+[0-9]"),
          lambda m: F.length(_digits(m)).between(9, 15), r"(?i)phone|call|\btel|mobile|fax"),
     Kind("iban", r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+", lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}[A-Z0-9]"), mod_97, r"(?i)iban|bank|account"),
+    Kind("iban_spaced", r"\b[A-Z]{2}[0-9]{2}(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[0-9]{1,3})?\b", lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}\x20[A-Z0-9]"),
+         lambda m: let(F.replace(m, F.lit(" "), F.lit("")), mod_97), r"(?i)iban|bank|account"),
+    Kind("phone_local", r"\([0-9]{3}\)[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}\b", lambda t: t.rlike(r"\([0-9]{3}\)"),
+         lambda m: F.lit(True), r"(?i)phone|call|\btel|mobile|fax"),
+    Kind("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", lambda t: t.rlike(r"[0-9]-[0-9]{2}-[0-9]"),
+         lambda m: ~m.rlike("^(?:000|666|9..)|-00-|0000$"), r"(?i)ssn|social|security"),
+    Kind("secret", r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_+/=-]{16,}",
+         lambda t: t.rlike(r"(?i)token|secret|passw|key"), random_looking, r"(?i)auth|login|credential|config"),
+    Kind("access_key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|-----BEGIN [A-Z ]*PRIVATE KEY-----",
+         lambda t: t.rlike(r"AKIA|ASIA|gh[pousr]_|PRIVATE KEY"), lambda m: F.lit(True), r"(?i)key|secret|auth"),
 )
 BASE_KINDS = 4
 
 
 def spans_of(text: Column, kind: Kind) -> Column:
     """Confirmed spans of one kind, in order."""
-    def located(x: Column) -> Column:
+    def run(x: Column, first: Column) -> Column:
+        """The starts of the matches of one run, from the end of the match before it, and the run's length."""
         state = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-        starts = F.aggregate(up_to(F.size(x["m"]), lambda i: i), state, lambda s, i: let(
+        return F.aggregate(up_to(F.least(F.lit(RUN), F.size(x["m"]) - first), lambda i: first + i), state, lambda s, i: let(
             s["at"] + F.char_length(F.get(x["p"], i)), lambda a: F.struct(
-                (a + F.char_length(F.get(x["m"], i))).alias("at"), F.array_append(s["starts"], a).alias("starts"))))["starts"]
+                (a + F.char_length(F.get(x["m"], i))).alias("at"), F.array_append(s["starts"], a).alias("starts"))))
+
+    def located(x: Column) -> Column:
+        def placed(runs: Column) -> Column:
+            zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("firsts"))
+            firsts = F.aggregate(runs, zero, lambda s, r: F.struct(
+                (s["at"] + r["at"]).alias("at"), F.array_append(s["firsts"], s["at"]).alias("firsts")))["firsts"]
+            return F.flatten(F.zip_with(runs, firsts, lambda r, a: F.transform(r["starts"], lambda b: a + b)))
+
+        starts = let(up_to(F.ceil(F.size(x["m"]) / RUN).cast("int"), lambda k: run(x, k * RUN)), placed)
         return F.zip_with(starts, x["m"], lambda a, m: F.struct(a.alias("start"), m.alias("m")))
 
     def scored(s: Column) -> Column:

@@ -42,8 +42,8 @@ def charset(headers: str) -> str:
     found = _CHARSET.search(headers)
     try:
         name = codecs.lookup(found[1]).name if found else "utf-8"
-        b"".decode(name)
-    except (LookupError, ValueError):
+        b"x".decode(name)
+    except (LookupError, ValueError):  # unknown, or none of text
         return "utf-8"
     return name
 
