@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .star import PCT, R, with_staging, with_star
+from .star import PCT, R, STG_APPS_SQL, with_staging, with_star
 from .star_build import DASH_APPS, DASH_REVIEWS
 
 
@@ -76,3 +76,17 @@ FROM dim_apps WHERE rating IS NOT NULL GROUP BY rating"""),
 SELECT app_name, category, installs_count, CAST(rating AS DOUBLE) AS rating, reviews_count
 FROM dim_apps WHERE installs_count >= 10000000 ORDER BY rating ASC NULLS FIRST, app_name LIMIT 15"""),
 }
+
+POPULAR_SQL = STG_APPS_SQL.replace("stg_apps AS (", "stg_plain AS (") + """,
+stg_apps AS (SELECT * REPLACE (CASE raw_app_id % 6 WHEN 1 THEN '50,000,000+' WHEN 2 THEN '10,000,000+' ELSE installs END AS installs) FROM stg_plain)"""
+
+ORACLE |= {
+    "d_low_rated_popular_dirty": ORACLE["d_low_rated_popular"].replace(STG_APPS_SQL.strip(), POPULAR_SQL.strip()),
+    "d_kpis_from_cube": ORACLE["d_kpis_filtered"],
+    "d_filter_cube": _dash(f"""
+SELECT 'apps' AS frame, c AS category, t AS type, '(all)' AS sentiment, COUNT(*) AS total, {R('AVG(rating)', 4)} AS avg_rating, SUM(installs_clean) AS total_installs
+FROM (SELECT unnest([category, '(all)']) AS c, type, rating, installs_clean FROM dash_apps WHERE category IS NOT NULL AND type IS NOT NULL) x,
+  LATERAL (SELECT unnest([type, '(all)']) AS t) y GROUP BY ALL
+UNION ALL
+SELECT 'reviews', '(all)', '(all)', s, COUNT(*), NULL, NULL FROM (SELECT unnest([sentiment, '(all)']) AS s FROM dash_reviews) z GROUP BY ALL"""),
+}

@@ -6,7 +6,7 @@ found with anti joins.
 
 from __future__ import annotations
 
-from .star import STG_APPS_SQL, STG_REVIEWS_SQL, R, with_star
+from .star import STG_APPS_SQL, STG_REVIEWS_SQL, R, dirty, with_star
 from .star_build import DIM_BUILT
 
 AS_OF = "DATE '2001-12-31'"
@@ -20,7 +20,8 @@ def _outside(column: str, low: int, high: int) -> str:
     return f"NOT {column} BETWEEN {low} AND {high}"
 
 
-# id: (label of the report, kind, source, counted rows or "distinct <column>")
+# id: (label of the report, kind, source, counted rows or "distinct <column>"). The labels and the conditions are the
+# definition of the checks.
 CHECKS = {
     "V1.1": ("stg_google_play_apps", "row_count", "stg_apps", ""),
     "V1.2": ("stg_google_play_reviews", "row_count", "stg_reviews", ""),
@@ -29,8 +30,8 @@ CHECKS = {
     **{f"V3.{i}": (f"{t}.{c} IS NULL", "violation", t, f"{c} IS NULL") for i, (t, c) in enumerate(
         [*((DIM, c) for c in ("app_name", "category", "rating", "installs_count", "content_rating")), (FACT, "app_id"), (FACT, "sentiment")], 1)},
     "V5.1": ("rating NOT BETWEEN 0 AND 5", "violation", DIM, _outside("rating", 0, 5)),
-    "V5.2": ("installs_count < 0", "violation", DIM, "sign(installs_count) = -1"),
-    "V5.3": ("price_usd < 0", "violation", DIM, "sign(price_usd) = -1"),
+    "V5.2": ("installs_count < 0", "violation", DIM, "installs_count < 0"),
+    "V5.3": ("price_usd < 0", "violation", DIM, "price_usd < 0"),
     "V5.5": ("sentiment_polarity NOT BETWEEN -1 AND 1", "violation", FACT, _outside("sentiment_polarity", -1, 1)),
     "V5.6": ("sentiment_subjectivity NOT BETWEEN 0 AND 1", "violation", FACT, _outside("sentiment_subjectivity", 0, 1)),
     "V6.1": ("empty_or_null_review_text", "violation", FACT, "coalesce(trim(review_text), '') = ''"),
@@ -41,7 +42,7 @@ CHECKS = {
     "V9.2": ("distinct_categories", "count", DIM, "distinct category"),
     "V9.3": ("distinct_genres", "count", DIM, "distinct genres"),
     "V10.1": ("last_updated_date IS NULL", "violation", DIM, "last_updated_date IS NULL"),
-    "V10.2": ("last_updated_date > NOW()", "violation", DIM, f"last_updated_date - {AS_OF} > 0"),
+    "V10.2": ("last_updated_date > NOW()", "violation", DIM, f"last_updated_date > {AS_OF}"),
     "V11.1": ("size_in_mb IS NULL", "violation", DIM, "size_in_mb IS NULL"),
 }
 
@@ -71,7 +72,7 @@ def _stats(column: str, source: str, places: int) -> str:
 
 
 def _repeated(source: str, keys: str, tail: str) -> str:
-    return with_star(f"SELECT {keys}, count(*) AS occurrence_count FROM {source} GROUP BY ALL HAVING occurrence_count >= 2 {tail}")
+    return with_star(f"SELECT {keys}, count(*) AS occurrence_count FROM {source} GROUP BY ALL HAVING count(*) > 1 {tail}")
 
 
 def _sizes(more: str) -> str:
@@ -111,3 +112,35 @@ SELECT count(*) AS total_checks, count(value) AS passed, count(*) - count(value)
         _stats("rating", DIM, 2), _stats("installs_count", DIM, 0), _stats("price_usd", DIM, 2),
         _stats("sentiment_polarity", FACT, 4), _stats("sentiment_subjectivity", FACT, 4)])),
 }
+
+# the whole suite: the counts from the table of checks, and the number of rows of the statements that return rows
+_PLAIN = {
+    "V4.1": ("duplicate app names", "violation", f"(SELECT app_name FROM {DIM} GROUP BY ALL HAVING count(*) > 1)"),
+    "V4.2": ("duplicate reviews", "violation",
+             f"(SELECT app_id FROM {FACT} WHERE review_text IS NOT NULL GROUP BY app_id, review_text HAVING count(*) > 1 LIMIT 20)"),
+    "V5.4": ("sentiment outside the domain", "violation",
+             f"(SELECT DISTINCT sentiment FROM {FACT} WHERE NOT list_contains(['Positive', 'Negative', 'Neutral'], sentiment))"),
+    "V7.1": ("orphan_fact_user_reviews", "violation", ORPHANS),
+    "V8.1": ("apps without reviews, by name", "rows", f"(FROM {UNREVIEWED} LIMIT 25)"),
+    "V8.2": ("apps_without_reviews", "rows", UNREVIEWED),
+    "V9.4": ("apps by category", "rows", f"(SELECT DISTINCT category FROM {DIM})"),
+    "V10.3": ("range of update dates", "rows", "(SELECT 1)"),
+    "V11.2": ("implausible sizes", "violation", f"(FROM {DIM} WHERE size_in_mb > 500 LIMIT 10)"),
+    "V11.3": ("largest sizes", "rows", f"(FROM {DIM} WHERE size_in_mb IS NOT NULL LIMIT 10)"),
+    **{f"V12.{k}": (f"{c} statistics", "rows", "(SELECT 1)") for k, c in enumerate(
+        ("rating", "installs_count", "price_usd", "sentiment_polarity", "sentiment_subjectivity"), 1)},
+}
+SUITE = " UNION ALL ".join(
+    [f"(SELECT '{i}' AS check_id, '{label}' AS validation, '{kind}' AS metric_kind, 'passed' AS status, CAST({_counted(rule)} AS BIGINT) AS value FROM {source})"
+     for i, (label, kind, source, rule) in CHECKS.items() if i not in ("V7.1", "V7.1r", "V8.2")]
+    + [f"(SELECT '{i}', '{label}', '{kind}', 'passed', count(*) FROM {source})" for i, (label, kind, source) in _PLAIN.items()])
+
+
+ORACLE |= {
+    "v_suite": _all(SUITE),
+    "v_suite_dirty": dirty(_all(SUITE)),
+    "v_suite_summary": _all(f"""
+SELECT count(*) AS total_checks, count(value) AS passed, count(*) - count(value) AS failed,
+  count(*) FILTER (metric_kind = 'violation' AND value > 0) AS issues FROM ({SUITE})"""),
+    **{f"{k}_dirty": dirty(ORACLE[k]) for k in ("v_dup_apps", "v_bad_sentiment", "v_size_large")},
+}

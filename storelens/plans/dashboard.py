@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..operators.quantiles import exact_quantiles
 from ..operators.shares import rnd, share_of_total
 from ..operators.topk import top_k
-from ..sources.testdata import staging_apps, staging_reviews, star
+from ..sources.testdata import popular_staging_apps, staging_apps, staging_reviews, star
 from .star import dashboard_apps, dashboard_reviews
 
 C = F.col
@@ -52,6 +52,36 @@ def kpis(apps: DataFrame, reviews: DataFrame) -> DataFrame:
     return a.withColumn("total_reviews", n_reviews.cast("bigint"))
 
 
+ALL = "(all)"
+
+
+def filter_cube(apps: DataFrame, reviews: DataFrame) -> DataFrame:
+    """The KPIs under every choice of the filters (D1-D3) in one pass over each frame: a row for each category and
+    type and each sentiment, ``(all)`` where there is no filter. As small as the lists of values the filters offer."""
+    def name(c):
+        return F.when(F.grouping(c) == 1, ALL).otherwise(C(c)).alias(c)
+
+    no = F.lit(None)
+    a = apps.where(C("category").isNotNull() & C("type").isNotNull()).cube("category", "type").agg(
+        name("category").alias("c"), name("type").alias("t"), F.count(F.lit(1)).cast("bigint").alias("total"),
+        rnd(F.avg("rating"), 4).alias("avg_rating"), F.sum("installs_clean").alias("total_installs"))
+    r = reviews.rollup("sentiment").agg(name("sentiment").alias("s"), F.count(F.lit(1)).cast("bigint").alias("total"))
+    return a.select(F.lit("apps").alias("frame"), C("c").alias("category"), C("t").alias("type"), F.lit(ALL).alias("sentiment"),
+                    "total", "avg_rating", "total_installs").unionByName(r.select(
+        F.lit("reviews").alias("frame"), F.lit(ALL).alias("category"), F.lit(ALL).alias("type"), C("s").alias("sentiment"),
+        "total", no.cast("double").alias("avg_rating"), no.cast("double").alias("total_installs")))
+
+
+def kpis_of(cube: DataFrame, f: Filters) -> DataFrame:
+    """D3 for any filters, looked up in the cube."""
+    is_app = (C("frame") == "apps") & (C("category") == (f.category or ALL)) & (C("type") == (f.app_type or ALL))
+    is_review = (C("frame") == "reviews") & (C("sentiment") == (f.sentiment or ALL))
+    pick = lambda cond, c: F.max(F.when(cond, C(c)))
+    return cube.agg(F.coalesce(pick(is_app, "total"), F.lit(0)).cast("bigint").alias("total_apps"), pick(is_app, "avg_rating").alias("avg_rating"),
+                    pick(is_app, "total_installs").alias("total_installs"),
+                    F.coalesce(pick(is_review, "total"), F.lit(0)).cast("bigint").alias("total_reviews"))
+
+
 def top_apps(apps: DataFrame, k: int = 15) -> DataFrame:
     rows = apps.select("raw_app_id", "app", "category", "installs_clean", "rating", "reviews")
     return top_k(rows, [C("installs_clean").desc_nulls_last(), C("rating").desc_nulls_last(),
@@ -189,8 +219,11 @@ QUERIES = {
     "d_filter_values": _apps(filter_values),
     "d_kpis": lambda spark, sf: kpis(*_frames(spark, sf)),
     "d_kpis_filtered": lambda spark, sf: kpis(*_frames(spark, sf, EXAMPLE_FILTERS)),
+    "d_filter_cube": lambda spark, sf: filter_cube(*_frames(spark, sf)),
+    "d_kpis_from_cube": lambda spark, sf: kpis_of(filter_cube(*_frames(spark, sf)), EXAMPLE_FILTERS),
     "d_top_apps": _apps(top_apps),
     "d_low_rated_popular": _apps(low_rated_popular),
+    "d_low_rated_popular_dirty": lambda spark, sf: low_rated_popular(dashboard_apps(popular_staging_apps(spark, sf))),
     "d_sentiment_counts": _reviews(sentiment_counts),
     "d_polarity_by_sentiment": _reviews(polarity_by_sentiment),
     "d_rating_by_type": _apps(rating_by_type),

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import anti
@@ -69,46 +69,51 @@ def _col(check_id: str) -> str:
     return "c_" + check_id.replace(".", "_")
 
 
-def dim_checks(dim: DataFrame, as_of=None, ids: list[str] | None = None) -> DataFrame:
-    """The checks over the dimension (all, or ``ids``: only their aggregates are computed).
-    ``as_of`` is the date after which an update lies in the future; today if not given."""
+def dim_expressions(as_of=None) -> dict[str, Column]:
+    """The counts over the dimension. ``as_of`` is the date after which an update lies in the future; today if not given."""
     r, inst, price, cat = C("rating"), C("installs_count"), C("price_usd"), C("category")
     d = C("last_updated_date")
     today = F.current_date() if as_of is None else F.lit(as_of)
-    checks = [
-        F.count(F.lit(1)).alias(_col("V2.1")),
-        F.count_if(C("app_name").isNull()).alias(_col("V3.1")),
-        F.count_if(cat.isNull()).alias(_col("V3.2")),
-        F.count_if(r.isNull()).alias(_col("V3.3")),
-        F.count_if(inst.isNull()).alias(_col("V3.4")),
-        F.count_if(C("content_rating").isNull()).alias(_col("V3.5")),
-        F.count_if(r.isNotNull() & ((r < 0) | (r > 5))).alias(_col("V5.1")),
-        F.count_if(inst < 0).alias(_col("V5.2")),
-        F.count_if(price < 0).alias(_col("V5.3")),
-        F.count_if(cat.isNull() | (F.trim(cat) == "")).alias(_col("V9.1")),
-        F.count_distinct(cat).alias(_col("V9.2")),
-        F.count_distinct(C("genres")).alias(_col("V9.3")),
-        F.count_if(d.isNull()).alias(_col("V10.1")),
-        F.count_if(d > today).alias(_col("V10.2")),
-        F.count_if(C("size_in_mb").isNull()).alias(_col("V11.1")),
-    ]
-    names = ["V2.1", "V3.1", "V3.2", "V3.3", "V3.4", "V3.5", "V5.1", "V5.2", "V5.3",
-             "V9.1", "V9.2", "V9.3", "V10.1", "V10.2", "V11.1"]
-    asked = [n for n in names if ids is None or n in ids]
-    return _stack(dim.agg(*[c for n, c in zip(names, checks, strict=True) if n in asked]), asked)
+    return {
+        "V2.1": F.count(F.lit(1)),
+        "V3.1": F.count_if(C("app_name").isNull()),
+        "V3.2": F.count_if(cat.isNull()),
+        "V3.3": F.count_if(r.isNull()),
+        "V3.4": F.count_if(inst.isNull()),
+        "V3.5": F.count_if(C("content_rating").isNull()),
+        "V5.1": F.count_if(r.isNotNull() & ((r < 0) | (r > 5))),
+        "V5.2": F.count_if(inst < 0),
+        "V5.3": F.count_if(price < 0),
+        "V9.1": F.count_if(cat.isNull() | (F.trim(cat) == "")),
+        "V9.2": F.count_distinct(cat),
+        "V9.3": F.count_distinct(C("genres")),
+        "V10.1": F.count_if(d.isNull()),
+        "V10.2": F.count_if(d > today),
+        "V11.1": F.count_if(C("size_in_mb").isNull()),
+    }
+
+
+def fact_expressions() -> dict[str, Column]:
+    p, s, t = C("sentiment_polarity"), C("sentiment_subjectivity"), C("review_text")
+    return {
+        "V2.2": F.count(F.lit(1)),
+        "V3.6": F.count_if(C("app_id").isNull()),
+        "V3.7": F.count_if(C("sentiment").isNull()),
+        "V5.5": F.count_if(p.isNotNull() & ((p < -1) | (p > 1))),
+        "V5.6": F.count_if(s.isNotNull() & ((s < 0) | (s > 1))),
+        "V6.1": F.count_if(t.isNull() | (F.trim(t) == "")),
+    }
+
+
+def dim_checks(dim: DataFrame, as_of=None, ids: list[str] | None = None) -> DataFrame:
+    """The checks over the dimension (all, or ``ids``: only their aggregates are computed)."""
+    asked = {i: c for i, c in dim_expressions(as_of).items() if ids is None or i in ids}
+    return _stack(dim.agg(*[c.alias(_col(i)) for i, c in asked.items()]), list(asked))
 
 
 def fact_checks(fact: DataFrame) -> DataFrame:
-    p, s, t = C("sentiment_polarity"), C("sentiment_subjectivity"), C("review_text")
-    row = fact.agg(
-        F.count(F.lit(1)).alias(_col("V2.2")),
-        F.count_if(C("app_id").isNull()).alias(_col("V3.6")),
-        F.count_if(C("sentiment").isNull()).alias(_col("V3.7")),
-        F.count_if(p.isNotNull() & ((p < -1) | (p > 1))).alias(_col("V5.5")),
-        F.count_if(s.isNotNull() & ((s < 0) | (s > 1))).alias(_col("V5.6")),
-        F.count_if(t.isNull() | (F.trim(t) == "")).alias(_col("V6.1")),
-    )
-    return _stack(row, ["V2.2", "V3.6", "V3.7", "V5.5", "V5.6", "V6.1"])
+    checks = fact_expressions()
+    return _stack(fact.agg(*[c.alias(_col(i)) for i, c in checks.items()]), list(checks))
 
 
 def staging_checks(stg_apps: DataFrame, stg_reviews: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Key -> (builder, oracle SQL) registry consumed by ``__spark_entry__``.
 
 Every builder takes ``(spark, sf_dir)``, reads the given parquet tables (or views Spark
-derives from them) and returns a lazy DataFrame.
+derives from them) and returns a DataFrame; keys that take several passes (quantiles, models, the suite) run the
+earlier ones while it is built.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from ..oracle import dashboard as oracle_dashboard
 from ..oracle import evaluation as oracle_evaluation
 from ..oracle import quality as oracle_quality
 from ..oracle import star_build as oracle_star_build
-from . import analytics, classifier, corpus, dashboard, evaluation, modeling, quality
+from . import analytics, classifier, corpus, dashboard, evaluation, modeling, quality, suite
 from . import star as star_plans
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -33,7 +34,7 @@ def _on_star(fn) -> Builder:
 
 def queries() -> dict[str, Builder]:
     out: dict[str, Builder] = {k: _on_star(v) for k, v in analytics.QUERIES.items()}
-    for mod in (star_plans, quality, dashboard, corpus, evaluation, modeling, classifier):
+    for mod in (star_plans, quality, suite, dashboard, corpus, evaluation, modeling, classifier):
         out |= mod.QUERIES
     return out
 

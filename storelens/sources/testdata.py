@@ -107,6 +107,21 @@ def star(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return dim_apps(spark, sf_dir), fact_user_reviews(spark, sf_dir)
 
 
+def dirty_star(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The star with faults that the clean one can't have: names shared by two apps, sizes beyond any app's, sentiments
+    outside the domain, ratings above 5 as the type allows, categories blank, installs negative."""
+    dim, fact = star(spark, sf_dir)
+    k, name = F.col("app_id"), F.col("app_name")
+    dim = dim.withColumns({
+        "app_name": F.when(k % 50 == 0, F.concat(F.lit("app_"), F.floor(k / 100).cast("string"))).otherwise(name),
+        "category": F.when(k % 83 == 0, " ").otherwise(F.col("category")),
+        "rating": F.when(k % 61 == 0, F.lit(5.5)).otherwise(F.col("rating")).cast("decimal(3,2)"),
+        "installs_count": F.when(k % 71 == 0, -F.col("installs_count") - 1).otherwise(F.col("installs_count")),
+        "size_in_mb": F.when(k % 13 == 0, F.col("size_in_mb") * 10).otherwise(F.col("size_in_mb")).cast("decimal(12,6)")})
+    s = F.col("sentiment")
+    return dim, fact.withColumn("sentiment", F.when(F.col("review_id") % 17 == 0, F.lower(s)).when(F.col("review_id") % 19 == 0, "Mixed").otherwise(s))
+
+
 # --------------------------------------------------------------------------- dirty staging
 # Staging labels for o_orderstatus (content rating) of the dirty view.
 CONTENT_BY_STATUS = {"F": "Everyone", "O": "Teen", "P": "Mature 17+"}
@@ -153,6 +168,12 @@ def staging_apps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def popular_staging_apps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The staging table with apps of 10 million installs and more, which the plain one has none of."""
+    k = F.col("raw_app_id")
+    return staging_apps(spark, sf_dir).withColumn("installs", F.when(k % 6 == 1, "50,000,000+").when(k % 6 == 2, "10,000,000+").otherwise(F.col("installs")))
+
+
 def staging_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All-string raw reviews; names carry a leading blank, order keys divisible by 5 are orphans."""
     f = fact_user_reviews(spark, sf_dir)

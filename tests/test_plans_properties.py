@@ -188,3 +188,18 @@ def test_hot_join_spreads_hot_keys_and_equals_a_plain_join(spark):
     dealt = left.where("k = 'hot'").groupBy(F.pmod(F.xxhash64("id"), F.lit(hot["hot"]))).count().collect()
     assert len(dealt) == hot["hot"] and max(r["count"] for r in dealt) < 1.3 * total / 8
     assert hot_join(left.limit(0), right, "k", ["id"]).count() == 0
+
+
+def test_filter_cube_answers_every_choice_of_filters(spark):
+    from storelens.plans import dashboard as D
+    from storelens.plans.star import dashboard_apps, dashboard_reviews
+    from storelens.sources.testdata import staging_apps, staging_reviews
+
+    apps, reviews = dashboard_apps(staging_apps(spark, SF_SMALL)).cache(), dashboard_reviews(staging_reviews(spark, SF_SMALL)).cache()
+    cube = D.filter_cube(apps, reviews).cache()
+    for category in (None, "2-HIGH", "1-URGENT", "no such"):
+        for app_type in (None, "Free", "Paid"):
+            f = D.Filters(category, app_type, None if app_type is None else "Positive")
+            assert D.kpis_of(cube, f).first() == D.kpis(*D.apply_filters(apps, reviews, f)).first()
+    for frame in (apps, reviews, cube):
+        frame.unpersist()
