@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -41,17 +42,31 @@ def get_session(master: str | None = None, app_name: str = "storelens",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; set a scratch one only when unset (tests)."""
+    """The cluster's ``spark.checkpoint.dir``. Where it is unset, a scratch folder in local mode (tests), an error on a
+    cluster: a folder on each machine's own disk would lose what other machines read."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
         spark.sparkContext.setCheckpointDir(current)
         return current
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
     local = tempfile.mkdtemp(prefix="storelens-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
     return local
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """This application's folder under the checkpoint folder; everything that ``cut_lineage`` writes is in it."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/storelens-{spark.sparkContext.applicationId}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete this application's scratch tables. Frames that read them can't be used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     """Materialise ``df`` once as a parquet table in the shared checkpoint folder and read it back.
 
@@ -60,7 +75,6 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     job to count, one to write) and stores columnar data instead of serialised rows. Each
     call writes a fresh folder.
     """
-    root = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
-    path = f"{root}/storelens-{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -141,3 +141,100 @@ def test_empty_files_have_no_records(spark, tmp_path):
     (tmp_path / "a.csv").write_text("")
     (tmp_path / "b.csv").write_text("App\n")
     assert read_raw(spark, str(tmp_path), ["App"]).count() == 0
+
+
+def test_a_write_that_fails_keeps_the_old_table(spark, tmp_path):
+    import os
+
+    import pytest
+    from pyspark.errors import PySparkException
+    from pyspark.sql import functions as F
+
+    from storelens.sources.raw import write_staging
+    from storelens.sources.tables import written
+
+    path = str(tmp_path / "staging")
+    write_staging(spark.range(100).toDF("app"), path)
+    assert written(spark, path)["rows"] == 100
+    breaks = spark.range(0, 1000, numPartitions=4).toDF("app").withColumn(
+        "app", F.when(F.col("app") == 900, F.raise_error(F.lit("broken")).cast("long")).otherwise(F.col("app")))
+    for truncate in (True, False):
+        with pytest.raises(PySparkException):
+            write_staging(breaks, path, truncate=truncate)
+        assert spark.read.parquet(path).count() == 100 and written(spark, path)["rows"] == 100
+        assert os.listdir(tmp_path) == ["staging"]  # nothing is left beside it
+    write_staging(spark.read.parquet(path).where("app < 40"), path)  # a table may be written from itself
+    write_staging(spark.range(7).toDF("app"), path, truncate=False)
+    about = written(spark, path)
+    assert spark.read.parquet(path).count() == about["rows"] == 47
+    assert about["files"] == len([f for f in os.listdir(path) if f.startswith("part-")])
+
+
+def test_rows_that_cannot_be_read_back_are_an_error(spark, tmp_path, monkeypatch):
+    import pytest
+
+    from storelens.sources import tables
+
+    path = str(tmp_path / "t")
+    tables.replace_table(spark.range(5), path)
+
+    class Short:
+        get = {"n": 6}  # as if six rows had been written
+
+    monkeypatch.setattr(tables, "Observation", Short)
+    monkeypatch.setattr(type(spark.range(1)), "observe", lambda self, *a: self)
+    with pytest.raises(tables.WriteError):
+        tables.replace_table(spark.range(5), path)
+    monkeypatch.undo()
+    assert spark.read.parquet(path).count() == 5
+
+
+def test_a_swap_that_fails_is_undone(spark, tmp_path, monkeypatch):
+    import pytest
+
+    from storelens.sources import tables
+
+    path = str(tmp_path / "t")
+    tables.replace_table(spark.range(5), path)
+    rename = tables._Files.rename
+    monkeypatch.setattr(tables._Files, "rename", lambda self, a, b: (_ for _ in ()).throw(tables.WriteError(a)) if ".new-" in a else rename(self, a, b))
+    with pytest.raises(tables.WriteError):
+        tables.replace_table(spark.range(9), path)
+    assert spark.read.parquet(path).count() == 5
+
+
+def test_refresh_of_the_star_is_bucketed_and_keeps_the_old_table_on_failure(spark):
+    import uuid
+
+    import pytest
+    from pyspark.errors import PySparkException
+    from pyspark.sql import functions as F
+
+    from storelens.sources.raw import refresh_star
+
+    d, f = f"dim_{uuid.uuid4().hex[:8]}", f"fact_{uuid.uuid4().hex[:8]}"
+    dim = spark.range(50).toDF("app_id").withColumn("app_name", F.concat(F.lit("app_"), "app_id"))
+    fact = spark.range(200).select((F.col("id") % 50).alias("app_id"), F.col("id").alias("review_id"))
+    try:
+        refresh_star(dim, fact, d, f, buckets=4)
+        refresh_star(dim.where("app_id < 40"), fact, d, f, buckets=4)
+        assert spark.table(d).count() == 40 and spark.table(f).count() == 200
+        old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            joined = spark.table(f).join(spark.table(d), "app_id")
+            assert "Exchange hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 160
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        with pytest.raises(PySparkException):
+            refresh_star(dim.withColumn("app_name", F.raise_error(F.lit("broken"))), fact, d, f, buckets=4)
+        assert spark.table(d).count() == 40 and not [t for t in spark.catalog.listTables() if t.name.startswith(f"{d}__new")]
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {d}")
+        spark.sql(f"DROP TABLE IF EXISTS {f}")
+
+
+def test_scratch_tables_are_in_the_applications_folder(spark):
+    from storelens.session import cut_lineage, scratch_root
+
+    assert scratch_root(spark) in cut_lineage(spark.range(3), "probe").inputFiles()[0]
