@@ -139,3 +139,10 @@ SELECT doc_id, array_to_string({words('cleaned_review')}[1:64], ' ') AS truncate
   CAST(len({words('cleaned_review')}[1:64]) AS BIGINT) AS n_tokens_kept
 FROM corpus"""),
 }
+
+ORACLE["p_tfidf_vectors"] = BASE.rstrip() + VOCABULARY + f""",
+ntrain AS (SELECT COUNT(*) AS n FROM split_rows WHERE split = 'train'),
+placed AS (SELECT term, df, ROW_NUMBER() OVER (ORDER BY term) - 1 AS i FROM vocab),
+w AS (SELECT tf.doc_id, placed.i, (1 + ln(tf.tf)) * (1 + ln((1.0 + ntrain.n) / (1 + placed.df))) AS w FROM tf JOIN placed USING (term) CROSS JOIN ntrain)
+SELECT doc_id, COUNT(*) AS n_terms, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS indices, {R('SUM(w) / sqrt(SUM(w * w))', 4)} AS weight_sum
+FROM w GROUP BY doc_id"""
