@@ -12,7 +12,8 @@ Targets: sources in code point order, null last, weigh 1, 2, 3, 1, 2, 3, ... and
 documents; a target stops at ``max_epochs`` times its source's size, the excess is shared again by
 weight until none is above.
 
-To the driver come one row for each source and, back, one for each source and shard; offsets come from
+To the driver come one row for each source; it draws at most ``GROUPS`` groups of shards, one count for each source and
+group, whatever the size of the mix, and a task draws a group's shards from its counts in the same way. Offsets come from
 two-level sums over hashed buckets, so no task sees a whole source.
 
 Defined results: null, empty and wordless texts have size 0 and are never taken; a null source is a
@@ -31,6 +32,8 @@ from .common import SPACE_WORD, cut
 
 BLOCK_WORDS, SHARD_SLOTS, MAX_EPOCHS, SEED = 64, 1 << 16, 3, 7
 WEIGHTS = (1, 2, 3)
+#: Groups of shards that the driver draws at most; the shards of a group are drawn in a task.
+GROUPS = 1024
 #: Rows that a bucket of the offset sums holds on average.
 BUCKET_ROWS = 4096
 
@@ -59,11 +62,12 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
         left * F.col("w") / open_w).alias("target"))
 
 
-def draw_shards(slots: np.ndarray, shard_slots: int, seed: int):
+def draw_shards(slots: np.ndarray, shard_slots: int, seed: int | list[int]):
     """Rows (source position, shard, count, first slot); the counts of a source sum to its slots."""
+    seed = seed if isinstance(seed, list) else [seed]
     rest, first, shard, out = slots.astype(np.int64).copy(), np.zeros(len(slots), np.int64), 0, []
     while rest.sum():
-        rng = np.random.default_rng([seed, shard])
+        rng = np.random.default_rng([*seed, shard])
         want, got = min(shard_slots, int(rest.sum())), np.zeros(len(slots), np.int64)
         while want:  # what a nearly spent source can't give is drawn again from the others
             room = rest - got
@@ -77,6 +81,19 @@ def draw_shards(slots: np.ndarray, shard_slots: int, seed: int):
     return out
 
 
+def _shards_of_groups(per_group: int, shard_slots: int, seed: int):
+    """The draws of each group of shards, a row of sources' counts, down to its shards."""
+    def run(batches):
+        for b in batches:
+            for group in b.to_pylist():
+                drawn = draw_shards(np.array(group["n"], np.int64), shard_slots, [seed, 1, group["shard"]])
+                rows = [(group["sid"][i], group["shard"] * per_group + shard, n, group["first"][i] + first, group["n_blocks"][i])
+                        for i, shard, n, first in drawn]
+                yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(
+                    (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["sid", "shard", "n", "first", "n_blocks"])
+    return run
+
+
 def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     """P_key(index) for each row: a permutation of 0..n-1 by a four-round Feistel network."""
     half = np.maximum(1, (np.ceil(np.log2(np.maximum(n, 2))).astype(np.int64) + 1) // 2).astype(np.uint64)
@@ -131,14 +148,25 @@ def packed_sources(documents: DataFrame, block_words: int = BLOCK_WORDS, weights
 
 
 def drawn_slots(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS,
-                seed: int = SEED) -> DataFrame:
+                seed: int = SEED, groups: int = GROUPS) -> DataFrame:
     """``(sid, shard, slot, block)``: the block index that each slot of the mix takes."""
     spark = targets.sparkSession
     rows = targets.where("source_size > 0").select("sid", "source_size", "target").orderBy("sid").collect()  # one for each source
     n_blocks = [-(-r["source_size"] // block_words) for r in rows]
     slots = np.array([round(r["target"] * n / r["source_size"]) for r, n in zip(rows, n_blocks, strict=True)], np.int64)
-    drawn = [(rows[i]["sid"], shard, n, first, n_blocks[i]) for i, shard, n, first in draw_shards(slots, shard_slots, seed)]
-    plan = spark.createDataFrame(drawn, "sid int, shard int, n long, first long, n_blocks long")
+    shards = -(-int(slots.sum()) // shard_slots)
+    per_group = max(1, -(-shards // groups))
+    drawn = draw_shards(slots, shard_slots * per_group, seed)
+    if per_group == 1:
+        plan = spark.createDataFrame([(rows[i]["sid"], shard, n, first, n_blocks[i]) for i, shard, n, first in drawn],
+                                     "sid int, shard int, n long, first long, n_blocks long")
+    else:
+        by: dict[int, list] = {}
+        for i, group, n, first in drawn:
+            by.setdefault(group, []).append((rows[i]["sid"], n, first, n_blocks[i]))
+        plan = spark.createDataFrame([(g, *(list(x) for x in zip(*v, strict=True))) for g, v in by.items()],
+                                     "shard int, sid array<int>, n array<long>, first array<long>, n_blocks array<long>")
+        plan = plan.repartition(len(by)).mapInArrow(_shards_of_groups(per_group, shard_slots, seed), "sid int, shard int, n long, first long, n_blocks long")
     each = plan.select("sid", "shard", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"), "n_blocks")
     return each.mapInArrow(_blocks_of_slots(seed), "sid int, shard int, slot long, block long")
 

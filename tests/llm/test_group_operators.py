@@ -288,3 +288,19 @@ def test_shards_look_like_the_mix():
         assert first == count[:shard, s].sum()
         count[shard, s] = n
     assert (count.sum(0) == slots).all() and (count.sum(1) == 1000).all() and abs(count[0, 1] - 600) < 80
+
+
+def test_groups_of_shards_are_drawn_in_tasks_to_the_same_totals(spark):
+    targets = spark.createDataFrame([(0, 64 * 500, 64.0 * 700), (1, 64 * 3000, 64.0 * 3000), (2, 64, 64.0), (3, 0, 0.0)],
+                                    "sid int, source_size long, target double")
+    got = M.drawn_slots(targets, shard_slots=100, groups=7).collect()
+    assert sorted((r.sid, r.slot) for r in got) == [(s, k) for s, n in ((0, 700), (1, 3000), (2, 1)) for k in range(n)]
+    count = collections.Counter(r.shard for r in got)
+    assert sorted(count) == list(range(38)) and all(count[k] == 100 for k in range(37)) and count[37] == 1
+    share = collections.Counter((r.shard, r.sid) for r in got)
+    assert all(2 < share[k, 0] < 45 for k in range(37))  # 18.9 of 100 on average
+    assert max(collections.Counter((r.sid, r.block) for r in got).values()) == 2
+    again = M.drawn_slots(targets, shard_slots=100, groups=7).collect()
+    assert sorted(got) == sorted(again)
+    one = M.drawn_slots(targets, shard_slots=100).collect()  # few shards: drawn at once
+    assert sorted((r.sid, r.slot, r.block) for r in one) == sorted((r.sid, r.slot, r.block) for r in got)
