@@ -48,7 +48,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         spark.sparkContext.setCheckpointDir(current)
         return current
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+    if not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
         raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
     local = tempfile.mkdtemp(prefix="storelens-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
