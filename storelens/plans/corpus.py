@@ -260,7 +260,7 @@ QUERIES = {
     "p_stratified_split": lambda spark, sf: _split(spark, sf).select("doc_id", "label", "split"),
     "p_split_counts": lambda spark, sf: split_counts(_split(spark, sf)),
     "p_class_weights": lambda spark, sf: class_weights(_split(spark, sf)),
-    "p_tfidf_sql": lambda spark, sf: tfidf_long(cut_lineage(_split(spark, sf))),
+    "p_tfidf_sql": lambda spark, sf: tfidf_long(spread(cut_lineage(_split(spark, sf).select("doc_id", "split", "cleaned_review")))),
     "e_sentiment_distribution": lambda spark, sf: sentiment_distribution(corpus(spark, sf)),
     "e_length_stats": lambda spark, sf: length_stats(corpus(spark, sf)),
     "e_length_histogram": lambda spark, sf: length_histogram(corpus(spark, sf)),
