@@ -4,7 +4,8 @@ A text falls into pieces (the tokenizer's own split), and a piece's tokens depen
 distinct piece a dynamic program over its bytes finds the last token of every prefix: token t ends
 the prefix of length i if it is a suffix of it and the tokens before it, those of the prefix of length
 i - len(t), end in one that stays apart from t when both are encoded together; exactly one t does. So
-count(i) = count(i - len(t)) + 1, kept for every i. A text's count at a prefix is the sum over the
+count(i) = count(i - len(t)) + 1, kept for every i. One automaton of all tokens names those that end at
+each byte. A text's count at a prefix is the sum over the
 pieces before plus one look-up; totals, truncation and budget questions never encode a text again.
 
 A prefix that ends inside a piece is split as that prefix alone would be: a contraction that is cut off
@@ -20,9 +21,10 @@ from __future__ import annotations
 
 import json
 from array import array
-from collections.abc import Sequence
-from functools import cache, lru_cache
+from collections.abc import Iterator, Sequence
+from functools import cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 LIMIT = 1024
-#: Distinct pieces whose counts a worker keeps; beyond it the table is emptied and filled anew.
+#: Distinct pieces whose counts a worker keeps; beyond it those go that were not met for the longest time.
 KEPT_PIECES = 1_000_000
 #: Longer pieces are counted in arrays and not kept, so memory is in proportion to the piece.
 KEPT_BYTES = 64
@@ -56,20 +58,19 @@ class PrefixCounter:
         special = [t["content"] for t in spec["added_tokens"] if t["special"]]
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         text = {t: bytes(letter[c] for c in t) for t in spec["model"]["vocab"] if t not in special}
-        self.vocab = set(text.values())
-        self.longest = max(map(len, self.vocab))
-        sizes: dict[bytes, set[int]] = {}
-        for t in self.vocab:
-            if len(t) > 1:
-                sizes.setdefault(t[-2:], {1}).add(len(t))
-        self.sizes = {end: tuple(sorted(n, reverse=True)) for end, n in sizes.items()}  # of the tokens with these last two bytes
+        self.tokens = sorted(set(text.values()))
+        self.ends = ahocorasick.Automaton()
+        for k, t in enumerate(self.tokens):
+            self.ends.add_word(t.decode("latin-1"), (len(t), k))
+        self.ends.make_automaton()
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         self.rank = {(text[a], text[b]): k for k, (a, b) in enumerate(pairs)}
-        self.findall, self.beyond = regex.compile(PATTERN).findall, regex.compile(r"[^\x00-\u052f]").search
+        pattern = regex.compile(PATTERN)
+        self.findall, self.finditer, self.beyond = pattern.findall, pattern.finditer, regex.compile(r"[^\x00-\u052f]").search
         self.pieces = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
-        self.total: dict[str, int] = {}
-        self.states: dict[bytes, tuple[int, bytes]] = {b"": (0, b"")}
-        self.apart = lru_cache(1 << 20)(self._apart)
+        self.total, self.older = {}, {}  # pieces met lately, and those met last before them
+        self.states: dict[bytes, array] = {b"": array("q", [0])}  # counts at the prefixes of pieces that were asked for
+        self.stays: dict[int, bool] = {}  # by pair of tokens, see apart
 
     def merge(self, data: bytes) -> list[bytes]:
         """The tokens of a few bytes by the merges in order of rank."""
@@ -81,8 +82,13 @@ class PrefixCounter:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _apart(self, a: bytes, b: bytes) -> bool:
-        return self.merge(a + b) == ([a, b] if a else [b])
+    def apart(self, a: int, b: int) -> bool:
+        """Whether token ``b`` after token ``a`` (-1: none) stays as it is when both are encoded together."""
+        first, then = self.tokens[a] if a >= 0 else b"", self.tokens[b]
+        if len(self.stays) >= KEPT_PIECES:
+            self.stays.clear()
+        found = self.stays[a * len(self.tokens) + b] = self.merge(first + then) == ([first, then] if first else [then])
+        return found
 
     def split(self, text: str) -> list[str]:
         """The library's pieces; letters beyond those that all versions of Unicode agree on are left to it."""
@@ -90,58 +96,41 @@ class PrefixCounter:
             return self.findall(text)
         return [text[a:b] for _, (a, b) in self.pieces(text)]
 
-    def program(self, data: bytes) -> tuple[array, array]:
-        """Tokens of the prefixes of 0, 1, ..., len(data) bytes of a piece, and the length of the last token of each."""
-        counts, last = array("q", [0]), array("q", [0])
-        for i in range(1, len(data) + 1):
-            for size in self.sizes.get(data[max(0, i - 2):i], (1,)):
-                start = i - size
-                if start < 0:
-                    continue
-                t = data[start:i]
-                if t in self.vocab and self.apart(data[start - last[start]:start], t):
-                    counts.append(counts[start] + 1)
-                    last.append(size)
-                    break
-        return counts, last
-
-    def state(self, data: bytes) -> tuple[int, bytes]:
-        """Tokens of the prefix ``data`` of a piece, and the last of them."""
-        known = self.states
-        found = known.get(data)
-        if found is not None:
-            return found
-        if len(data) > KEPT_BYTES:
-            counts, last = self.program(data)
-            return counts[-1], data[len(data) - last[-1]:]
-        if len(known) >= KEPT_PIECES:
-            known.clear()
-            known[b""] = (0, b"")
-        k = len(data) - 1
-        while data[:k] not in known:
-            k -= 1
-        for i in range(k + 1, len(data) + 1):
-            for start in range(max(0, i - self.longest), i):
-                t = data[start:i]
-                if t in self.vocab:
-                    n, before = known[data[:start]]
-                    if self.apart(before, t):
-                        found = known[data[:i]] = (n + 1, t)
-                        break
-        return found
+    def program(self, data: bytes) -> Sequence[int]:
+        """Tokens of the prefixes of 0, 1, ..., len(data) bytes of a piece."""
+        counts, last = ([0], [-1]) if len(data) <= KEPT_BYTES else (array("q", [0]), array("q", [-1]))
+        width, stays, done = len(self.tokens), self.stays.get, 0
+        for end, (size, t) in self.ends.iter(data.decode("latin-1")):
+            if end < done:
+                continue  # the last token of this prefix is known
+            before = last[end + 1 - size]
+            apart = stays(before * width + t)
+            if self.apart(before, t) if apart is None else apart:
+                counts.append(counts[end + 1 - size] + 1)
+                last.append(t)
+                done = end + 1
+        return counts
 
     def piece_counts(self, piece: bytes) -> Sequence[int]:
         """Token counts of the prefixes of 0, 1, ..., len(piece) bytes."""
-        if len(piece) > KEPT_BYTES:
-            return self.program(piece)[0]
-        return [self.state(piece[:i])[0] for i in range(len(piece) + 1)]
+        found = self.states.get(piece)
+        if found is None:
+            found = self.program(piece)
+            if len(piece) <= KEPT_BYTES:
+                if len(self.states) >= KEPT_PIECES // 10:
+                    self.states.clear()
+                self.states[piece] = array("q", found)
+        return found
 
     def piece_total(self, piece: str) -> int:
         found = self.total.get(piece)
         if found is None:
-            found = self.state(piece.encode("utf-8"))[0]
+            found = self.older.get(piece)
+            if found is None:
+                found = self.program(piece.encode("utf-8"))[-1]
             if len(piece) <= KEPT_BYTES:
-                if len(self.total) >= KEPT_PIECES:
+                if len(self.total) >= KEPT_PIECES // 2:
+                    self.older = self.total.copy()
                     self.total.clear()
                 self.total[piece] = found
         return found
@@ -167,15 +156,24 @@ class PrefixCounter:
                 n += self.piece_total(piece) if found is None else found
         return n
 
-    def boundaries(self, text: str) -> tuple[list[int], list[int]]:
-        """Code point offsets of the pieces' ends, from 0, and the tokens up to each."""
+    def each_piece(self, text: str) -> Iterator[str]:
+        """The pieces of ``split``, found as they are asked for where that is possible."""
+        if text.isascii() or not self.beyond(text):
+            return (m[0] for m in self.finditer(text))
+        return iter(self.split(text))
+
+    def boundaries(self, text: str, budget: int | None = None) -> tuple[list[int], list[int]]:
+        """Code point offsets of the pieces' ends, from 0, and the tokens up to each; with a budget only
+        up to the first piece that ends above it."""
         at, n, ends, counts = 0, 0, [0], [0]
         for part, special in self.spans(text):
-            for piece in [part] if special else self.split(part):
+            for piece in [part] if special else self.each_piece(part):
                 at += len(piece)
                 n += 1 if special else self.piece_total(piece)
                 ends.append(at)
                 counts.append(n)
+                if budget is not None and n > budget:
+                    return ends, counts
         return ends, counts
 
     def prefix_counts(self, text: str) -> np.ndarray:
@@ -208,7 +206,7 @@ class PrefixCounter:
 
     def longest_prefix(self, text: str, budget: int) -> int:
         """Code points of the longest prefix with at most ``budget`` tokens."""
-        ends, counts = self.boundaries(text)
+        ends, counts = self.boundaries(text, budget)
         if counts[-1] <= budget:
             return len(text)
         # a prefix over the budget by more than a piece can give back never fits: look back from the last that fits
