@@ -32,7 +32,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import cut, private
 from .components import connected_components
@@ -62,12 +61,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE_WORDS) -> int:
     return sum(1 << int(b) for b in np.flatnonzero(2 * bits > n))
 
 
-def _fingerprints(batches):
-    for batch in batches:
-        fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column("t")), np.uint64, batch.num_rows)
-        yield pa.record_batch([*[c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != "t"],
-                               pa.array(fps.view(np.int64))],
-                              names=[*[n for n in batch.schema.names if n != "t"], "fp"])
+def _fingerprints(shingle: int):
+    def run(batches):
+        for batch in batches:
+            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column("t")), np.uint64, batch.num_rows)
+            yield pa.record_batch([*[c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != "t"],
+                                   pa.array(fps.view(np.int64))],
+                                  names=[*[n for n in batch.schema.names if n != "t"], "fp"])
+    return run
 
 
 class Golay:
@@ -206,7 +207,7 @@ def simhash_groups(documents: DataFrame, shingle: int = SHINGLE_WORDS, max_bits:
     """``(doc_id, fp, component_id)`` for each row of ``documents``."""
     kind = documents.schema[doc_id].dataType.simpleString()
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
-    prints = cut(docs.mapInArrow(_fingerprints, f"doc_id {kind}, fp long"), "fingerprints")
+    prints = cut(docs.mapInArrow(_fingerprints(shingle), f"doc_id {kind}, fp long"), "fingerprints")
     return _with_component(prints, "doc_id", "component_id", max_bits)
 
 
@@ -229,28 +230,29 @@ def fingerprint_hex(fp) -> F.Column:
 def keep_one_per_group(documents: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS,
                        doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``documents`` with one row of each group: the row of the least doc_id (nulls last), and of
-    rows that share it one of the least text. All columns as they were."""
-    (fp,) = private(documents, "simhash_fp")
-    schema = T.StructType([*documents.schema.fields, T.StructField(fp, T.LongType())])
-
-    def add(batches):
-        at = documents_columns.index(text)
-        for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(at)), np.uint64, batch.num_rows)
-            yield pa.record_batch([*batch.columns, pa.array(fps.view(np.int64))], names=[*batch.schema.names, fp])
-
-    documents_columns = documents.columns
-    rows = cut(documents.mapInArrow(add, schema), "simhash-rows")
-    order = F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("d"),
-                     F.xxhash64(text).alias("h")).alias("rank")
-    prints = rows.select(F.col(fp).alias("fp"), order)
-    ids = _with_component(prints.groupBy("fp").agg(F.min("rank").alias("rank")), "rank", "best", max_bits)
-    best = cut(ids.where(F.col("rank") == F.col("best")).select("fp", "rank"), "kept-fp")
-    mine = rows.join(best, (rows[fp] == best["fp"]) & (order_of(rows, doc_id, text) == best["rank"]), "left_semi")
-    w = Window.partitionBy(fp).orderBy(doc_id)
-    (n,) = private(rows, "simhash_n")
-    return mine.withColumn(n, F.row_number().over(w)).where(F.col(n) == 1).drop(n, fp)
-
-
-def order_of(df: DataFrame, doc_id: str, text: str):
-    return F.struct(df[doc_id].isNull().alias("n"), df[doc_id].alias("d"), F.xxhash64(df[text]).alias("h"))
+    rows that share it one of the least text. All columns as they were.
+
+    Texts are neither written nor aggregated: fingerprints are kept by (doc_id, two hashes of the text), and
+    the documents meet only the places of the rows that go, which Spark broadcasts where they are few.
+    """
+    i, h1, h2, n = private(documents, "simhash_id", "simhash_h1", "simhash_h2", "simhash_n")
+    kind, t = documents.schema[doc_id].dataType.simpleString(), F.col(text)
+    hashes = (F.xxhash64(t), F.xxhash64(F.lit(1), t))
+    prints = cut(documents.select(F.col(doc_id).alias("id"), hashes[0].alias("h1"), hashes[1].alias("h2"), t.alias("t")).mapInArrow(
+        _fingerprints(shingle), f"id {kind}, h1 long, h2 long, fp long"), "fingerprints")
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "h1", "h2").alias("rank")
+    places = cut(prints.groupBy("id", "h1", "h2", "fp").agg(F.count(F.lit(1)).alias("uses")).select(rank, "fp", "uses"), "places")
+    ids = _with_component(places.groupBy("fp").agg(F.min("rank").alias("rank")), "rank", "best", max_bits)
+    best = ids.where(F.col("rank") == F.col("best")).select(F.col("best").alias("stays"))
+    judged = places.join(best, F.col("rank") == F.col("stays"), "left").where("stays IS NULL OR uses > 1")
+    judged = cut(judged.select("rank.*", F.col("stays").isNotNull().alias("stays")), "judged-places")
+
+    def meet(rows: DataFrame, places: DataFrame, how: str) -> DataFrame:
+        p = places.select(F.col("id").alias(i), F.col("h1").alias(h1), F.col("h2").alias(h2))
+        on = rows[doc_id].eqNullSafe(p[i]) & (F.xxhash64(rows[text]) == p[h1]) & (F.xxhash64(F.lit(1), rows[text]) == p[h2])
+        return rows.join(p, on, how)
+
+    alone = meet(documents, judged, "left_anti")
+    w = Window.partitionBy(doc_id, *hashes).orderBy(doc_id)
+    repeated = meet(documents, judged.where("stays"), "left_semi").withColumn(n, F.row_number().over(w))
+    return alone.union(repeated.where(F.col(n) == 1).drop(n))

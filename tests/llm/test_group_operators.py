@@ -135,6 +135,19 @@ def test_simhash_groups_equal_brute_force(spark):
     assert kept.columns == d.columns
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted(low.values(), key=repr)
     assert S.simhash_groups(d.limit(0)).count() == 0
+    single = {r.doc_id: r.fp for r in S.simhash_groups(d.where("doc_id < 100").drop("fp"), shingle=1).collect()}
+    assert single == {i: x - (x >> 63 << 64) for i, t in docs if i is not None and i < 100 for x in [S.fingerprint(t, 1)]}
+
+
+def test_of_repeated_rows_one_stays_with_its_columns(spark):
+    rows = [(5, "a b c d", 1, "p"), (5, "a b c d", 2, "q"), (5, "other words than these here", 3, "r"), (6, "a b c d", 4, "s"),
+            (None, None, 5, "t"), (None, "", 6, "u"), (None, None, 7, "v")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, simhash_id int, FP string")
+    kept = S.keep_one_per_group(d)
+    assert kept.columns == d.columns
+    got = [tuple(r) for r in kept.collect()]
+    assert len(got) == 3 and set(got) < set(rows) and sum(r[0] == 5 for r in got) == 2 and rows[2] in got
+    assert S.keep_one_per_group(d.limit(0)).count() == 0
 
 
 def _distance(a, b):
