@@ -53,3 +53,35 @@ def test_weights_have_length_one(fitted):
     split, vocab, _, _, _ = fitted
     w = M.tfidf_entries(split, vocab).groupBy("doc_id").agg(F.sum(F.col("w") * F.col("w")).alias("n")).collect()
     assert w and all(abs(r.n - 1) < 1e-9 for r in w)
+
+
+def test_content_terms_are_the_terms_without_stop_words(spark):
+    from storelens.functions.text import content_terms, strip_stop_words, terms
+    rows = [("the cat and a dog then the end",), ("",), (None,), ("x the  y zz",), ("theory ofthe and1 the",), ("the",)]
+    df = spark.createDataFrame(rows, "c string")
+    for stops in (M.ENGLISH_STOP_WORDS, ["cat"], []):
+        got = df.select(content_terms(F.col("c"), stops).alias("a"), (terms(strip_stop_words(F.col("c"), stops)) if stops else terms(F.col("c"))).alias("b"))
+        assert all(r.a == r.b for r in got.collect())
+
+
+def test_terms_are_cut_once_and_not_shuffled(spark, fitted):
+    """Of a text its tokens are shuffled once, by document; its terms stay in the task (they were shuffled twice, and every
+    use of the tokens cut the text again)."""
+    split, vocab, _, _, _ = fitted
+    docs = split.select("doc_id", "cleaned_review")
+    plan = M.tfidf_entries(docs, vocab)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("split(cleaned_review") == 1 and "regexp" not in plan
+
+
+def test_split_reads_the_corpus_once(spark):
+    from storelens.plans.corpus import written_split
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def cleaned(i):
+        seen.add(1)
+        return f"text {i}"
+    df = spark.range(300).select(F.col("id").alias("doc_id"), (F.col("id") % 3).cast("int").alias("label"), cleaned("id").alias("cleaned_review"))
+    split = written_split(df, "doc_id", "cleaned_review", "split")
+    assert split.count() == 300 and seen.value == 300
+    assert {r.split: r["count"] for r in split.groupBy("split").count().collect()} == {"test": 45, "val": 45, "train": 210}
